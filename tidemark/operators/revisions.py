@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# The order of revisions, newest by these columns. Every operator uses the first one unless told
+# otherwise, so staging and hard-delete detection cannot disagree about ties.
 SOURCE_ORDER = ("source_updated_at", "batch_id", "record_hash")
 LOAD_ORDER = ("source_updated_at", "ingested_at", "record_hash")
 
@@ -38,13 +40,13 @@ def latest_live(df: DataFrame, key: str | Sequence[str], order: Sequence[str] =
     return newest_per_key(df, key, order).where(~F.col("is_deleted"))
 
 
-def live_keys(df: DataFrame, key: str, order: Sequence[str] = LOAD_ORDER) -> DataFrame:
+def live_keys(df: DataFrame, key: str, order: Sequence[str] = SOURCE_ORDER) -> DataFrame:
     """Keys whose newest flag is not deleted, found by aggregation instead of ranking."""
     newest_flag = F.max_by("is_deleted", F.struct(*order))
     return df.groupBy(key).agg(newest_flag.alias("_deleted")).where(~F.col("_deleted")).select(key)
 
 
-def hard_delete_keys(raw: DataFrame, source_keys: DataFrame, key: str, order: Sequence[str] = LOAD_ORDER) -> DataFrame:
+def hard_delete_keys(raw: DataFrame, source_keys: DataFrame, key: str, order: Sequence[str] = SOURCE_ORDER) -> DataFrame:
     """Keys that are live in the log but gone from the source."""
     return live_keys(raw, key, order).join(source_keys.select(key), key, "left_anti")
 
@@ -68,7 +70,7 @@ def tombstones(
 
 
 def latest_rows_for_keys(
-    raw: DataFrame, keys: DataFrame, key: str, business: Sequence[str], order: Sequence[str] = LOAD_ORDER
+    raw: DataFrame, keys: DataFrame, key: str, business: Sequence[str], order: Sequence[str] = SOURCE_ORDER
 ) -> DataFrame:
     """Newest full row, deleted or not, of the given keys. ``keys`` may repeat a key."""
     return newest_per_key(raw, key, order).join(keys.select(key), key, "left_semi").select(*business)
