@@ -223,11 +223,11 @@ def _funnel_listing(raw):
 class _LateRefunds(views.RawViews):
     """The raw tables with one more refund of 10.00 for every order whose key ends in 7."""
 
-    def __getitem__(self, name):
-        log = super().__getitem__(name)
+    def _plan(self, name):
+        log = super()._plan(name)
         if name != "refunds":
             return log
-        paid = super().__getitem__("payments").where(F.col("payment_id").endswith("7"))
+        paid = self["payments"].where(F.col("payment_id").endswith("7"))
         late = windows.moment(datetime(2026, 1, 4, tzinfo=UTC))
         fresh = {"status": F.lit("succeeded"), "amount": F.lit(10).cast(MONEY), "succeeded_at": late, "updated_at": late,
                  "source_updated_at": late, "refund_id": F.concat(F.lit("late_"), F.col("payment_id"))}
@@ -257,8 +257,8 @@ def _slo_breaches(tables):
 class _StreamTables(views.Tables):
     """The test tables read as streams."""
 
-    def __getitem__(self, name):
-        schema = self.spark.read.parquet(f"{self.folder}/{name}.parquet").schema
+    def _read(self, name):
+        schema = super()._read(name).schema
         # A pattern, because a stream takes a folder or a pattern, and the table may be one file.
         return self.spark.readStream.schema(schema).parquet(f"{self.folder}/{name}[.]parquet")
 
@@ -268,7 +268,7 @@ def _streamed_revisions(spark, folder):
     stream = views.raw_events(_StreamTables(spark, folder))
     streams.land_revisions(stream, f"{out}/log", f"{out}/checkpoint")
     log = spark.read.schema(stream.schema).parquet(f"{out}/log")
-    return revisions.latest_live(log, "event_id")
+    return revisions.latest_live(log.drop(streams.BATCH), "event_id")
 
 
 def _streamed_distinct_events(spark, folder):

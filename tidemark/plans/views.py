@@ -34,15 +34,21 @@ def _sha(*values: Column | str) -> Column:
 
 
 class Tables:
-    """The test tables of one folder."""
+    """The test tables of one folder. A table's schema is looked up once."""
 
     def __init__(self, spark: SparkSession, folder: str):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark, self.folder = spark, folder
+        self._open: dict[str, DataFrame] = {}
 
-    def __getitem__(self, name: str) -> DataFrame:
+    def _read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._open:
+            self._open[name] = self._read(name)
+        return self._open[name]
+
 
 def _raw(df: DataFrame, table: str, columns: Mapping[str, Column]) -> DataFrame:
     """Add the columns most tables share, then put all in contract order."""
@@ -202,14 +208,20 @@ _RAW_VIEWS = {
 
 
 class RawViews(Mapping):
-    """All raw tables of one folder, each planned when it is asked for."""
+    """All raw tables of one folder, each planned when it is first asked for."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.tables = Tables(spark, folder)
+        self._planned: dict[str, DataFrame] = {}
 
-    def __getitem__(self, name: str) -> DataFrame:
+    def _plan(self, name: str) -> DataFrame:
         return _RAW_VIEWS[name](self.tables)
 
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._planned:
+            self._planned[name] = self._plan(name)
+        return self._planned[name]
+
     def __iter__(self):
         return iter(_RAW_VIEWS)
 

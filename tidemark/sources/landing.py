@@ -7,6 +7,7 @@ import json
 import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass
+from datetime import UTC
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -82,13 +83,14 @@ def known_batch(spark: SparkSession, root: str, batch_id: str) -> Batch | None:
 
 
 def _write_observed(df: DataFrame, path: str) -> dict[str, object]:
-    """Write a table and return its digest, measured on the rows as they are written.
+    """Write a table and return its digest and newest update, measured on the rows as written.
 
     The observation is the last step before the write, so it runs in the stage whose tasks commit
     the files and counts every committed task once.
     """
     measured = Observation()
-    observed = df.observe(measured, *digest_sums(df))
+    extra = [F.max("updated_at").alias("newest")] if "updated_at" in df.columns else []
+    observed = df.observe(measured, *digest_sums(df), *extra)
     observed.write.option("maxRecordsPerFile", ROWS_PER_FILE).mode("overwrite").parquet(path)
     return measured.get
 
@@ -98,10 +100,13 @@ def land_batch(
     root: str,
     source: str,
     tables: Mapping[str, DataFrame],
-    watermark: Mapping[str, object],
+    watermark: Mapping[str, object] | None = None,
     move_checkpoint: bool = True,
 ) -> Batch | None:
-    """Land one extract exactly once.
+    """Land one extract exactly once. None when it holds no rows.
+
+    Without a ``watermark`` it is the newest ``updated_at`` among the rows that were written, so a
+    row that reaches the source meanwhile cannot be skipped by the next run.
 
     Each table is read once: its digest is measured while it is written to an incoming folder.
     The digest names the batch, so content that was landed before is recognised and dropped, and
@@ -110,6 +115,9 @@ def land_batch(
     """
     incoming = f"{root}/incoming/{uuid.uuid4().hex}"
     digests = {name: _write_observed(df, f"{incoming}/{name}") for name, df in tables.items()}
+    newest = [at for values in digests.values() if (at := values.pop("newest", None)) is not None]
+    if watermark is None:
+        watermark = {"updated_at": max(newest).astimezone(UTC).isoformat()} if newest else {}
     filled = [name for name, values in digests.items() if values["row_count"]]
     if not filled:
         storage.remove(spark, incoming)
