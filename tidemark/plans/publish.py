@@ -77,15 +77,18 @@ class Gold:
     def write_candidate(
         self, mart: DataFrame, dataset: str, run_id: str, published_at: datetime | None = None
     ) -> str:
-        """Write a mart as a candidate. A repeat replaces it, but never the live version."""
+        """Write a mart as a candidate and return its path.
+
+        A repeat of a run replaces its candidate, but a version that was published once stays as
+        it is: readers may be on it.
+        """
         path = self.candidate_path(dataset, run_id)
-        if self._is_snapshot(dataset, path):
-            raise PublishError(f"{path} has been published and cannot be written again")
-        stamp = moment(published_at) if published_at else build_time()
-        commerce.stamped(mart, dataset, stamp).write.mode("overwrite").parquet(path)
+        if not self._was_published(dataset, path):
+            stamp = moment(published_at) if published_at else build_time()
+            commerce.stamped(mart, dataset, stamp).write.mode("overwrite").parquet(path)
         return path
 
-    def _is_snapshot(self, dataset: str, path: str) -> bool:
+    def _was_published(self, dataset: str, path: str) -> bool:
         committed = self.manifest.entries().where((F.col("dataset") == dataset) & (F.col("status") == "COMMITTED"))
         return not committed.where(F.col("candidate_path") == path).isEmpty()
 
