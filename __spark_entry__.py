@@ -284,9 +284,7 @@ def _streamed_funnel_metrics(spark, folder):
     out = work_dir(spark, "stream-funnel")
     stream = views.raw_events(_StreamTables(spark, folder))
     streams.refresh_funnel_metrics(stream, f"{out}/log", f"{out}/metrics", f"{out}/checkpoint")
-    counts = [f"{name} bigint" for name in ("viewing_sessions", "cart_sessions", "checkout_sessions", "viewing_users")]
-    schema = ", ".join(["campaign_id string", *counts, "event_date date"])
-    return spark.read.schema(schema).parquet(f"{out}/metrics")
+    return streams.read_funnel_metrics(spark, f"{out}/metrics")
 
 
 def entry(spark: SparkSession) -> DataFrame:

@@ -20,6 +20,7 @@ def spark(tmp_path_factory):
         spark__sql__shuffle__partitions=8,
         spark__ui__enabled="false",
         spark__driver__memory="6g",
+        spark__sql__maxMetadataStringLength=10000,
         spark__checkpoint__dir=f"{home}/shared",
         spark__sql__warehouse__dir=f"{home}/warehouse",
     )

@@ -7,15 +7,15 @@ replaces its own output and nothing else.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import utc_day
-from tidemark.operators.revisions import newest_per_key
-from tidemark.plans.commerce import campaign_event_metrics
-from tidemark.operators.revisions import latest_live
+from tidemark.operators.revisions import latest_live, newest_per_key
+from tidemark.plans.commerce import FUNNEL_COUNTS, campaign_event_metrics
 from tidemark.sources import storage
 
 BATCH = "stream_batch"
@@ -23,9 +23,15 @@ DAY = "event_date"
 REDELIVERY = "48 hours"
 
 
-def _run(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]) -> None:
+def _run(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, str], None]) -> None:
+    """Take what has arrived. ``each`` gets a micro-batch and its name.
+
+    The name is the same whenever the batch is replayed, and differs between checkpoints, whose
+    batch numbers all start at zero.
+    """
+    origin = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
     query = (
-        stream.writeStream.foreachBatch(each)
+        stream.writeStream.foreachBatch(lambda batch, number: each(batch, f"{origin}-{number:09d}"))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -38,7 +44,7 @@ def land_revisions(stream: DataFrame, path: str, checkpoint: str) -> None:
 
     Nothing is dropped, however late; duplicates are settled on read by the ranking.
     """
-    _run(stream, checkpoint, lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/{BATCH}={number}"))
+    _run(stream, checkpoint, lambda batch, name: batch.write.mode("overwrite").parquet(f"{path}/{BATCH}={name}"))
 
 
 def drop_redelivered(stream: DataFrame, key: str, moment: str, delay: str = REDELIVERY) -> DataFrame:
@@ -51,8 +57,8 @@ def drop_redelivered(stream: DataFrame, key: str, moment: str, delay: str = REDE
     return stream.withWatermark(moment, delay).dropDuplicatesWithinWatermark([key])
 
 
-def _write_days(rows: DataFrame, number: int, path: str) -> None:
-    tagged = rows.withColumn(BATCH, F.lit(number))
+def _write_days(rows: DataFrame, name: str, path: str) -> None:
+    tagged = rows.withColumn(BATCH, F.lit(name))
     writer = tagged.hint("rebalance", DAY).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy(DAY, BATCH).parquet(path)
 
@@ -64,7 +70,7 @@ def _days_of(rows: DataFrame) -> tuple[object, object] | None:
 
 
 def _read(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    schema = like.drop(DAY).schema.add(DAY, "date").add(BATCH, "long")
+    schema = like.drop(DAY).schema.add(DAY, "date").add(BATCH, "string")
     return spark.read.schema(schema).parquet(path)
 
 
@@ -75,16 +81,16 @@ def land_first_deliveries(stream: DataFrame, key: str, moment: str, path: str, c
     its event time in every delivery, so all its deliveries meet in one day's folder.
     """
 
-    def each(batch: DataFrame, number: int) -> None:
+    def each(batch: DataFrame, name: str) -> None:
         rows = newest_per_key(batch.withColumn(DAY, utc_day(moment)), key, (moment,))
         days = _days_of(rows)
         if days is None:
             return
         spark = batch.sparkSession
         if storage.exists(spark, path):
-            earlier = _read(spark, path, rows).where(F.col(DAY).between(*days) & (F.col(BATCH) < number))
+            earlier = _read(spark, path, rows).where(F.col(DAY).between(*days) & (F.col(BATCH) != name))
             rows = rows.join(earlier.select(key, DAY), [key, DAY], "left_anti")
-        _write_days(rows, number, path)
+        _write_days(rows, name, path)
 
     _run(stream, checkpoint, each)
 
@@ -97,19 +103,30 @@ def refresh_funnel_metrics(stream: DataFrame, log_path: str, metrics_path: str,
     time of an event does not change between revisions.
     """
 
-    def each(batch: DataFrame, number: int) -> None:
+    def each(batch: DataFrame, name: str) -> None:
         spark = batch.sparkSession
         rows = batch.withColumn(DAY, utc_day("occurred_at"))
-        _write_days(rows, number, log_path)
+        _write_days(rows, name, log_path)
         landed = _read(spark, log_path, rows)
-        days = _days_of(landed.where(F.col(BATCH) == number))
+        days = _days_of(landed.where(F.col(BATCH) == name))
         if days is None:
             return
         span = landed.where(F.col(DAY).between(*days))
-        touched = span.where(F.col(BATCH) == number).select(DAY).distinct()
+        touched = span.where(F.col(BATCH) == name).select(DAY).distinct()
         history = span.join(touched, DAY, "left_semi").drop(DAY, BATCH)
         metrics = campaign_event_metrics(latest_live(history, "event_id"))
-        writer = metrics.hint("rebalance", DAY).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        # A row without a campaign per touched day, so a day that lost all its events is replaced too.
+        zeros = [F.lit(0).cast("long").alias(count) for count in FUNNEL_COUNTS]
+        marks = touched.select(DAY, F.lit(None).cast("string").alias("campaign_id"), *zeros)
+        writer = metrics.unionByName(marks).hint("rebalance", DAY).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy(DAY).parquet(metrics_path)
 
     _run(stream, checkpoint, each)
+
+
+def read_funnel_metrics(spark: SparkSession, metrics_path: str) -> DataFrame:
+    """The metrics kept by ``refresh_funnel_metrics``."""
+    counts = [f"{name} bigint" for name in FUNNEL_COUNTS]
+    schema = ", ".join(["campaign_id string", *counts, f"{DAY} date"])
+    kept = spark.read.schema(schema).parquet(metrics_path).where(F.col("campaign_id").isNotNull())
+    return kept.select(DAY, "campaign_id", *FUNNEL_COUNTS)
