@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.columns import hash_slice, row_text
+from tidemark.operators.revisions import append_union
 
 EXCLUDED = ("published_at",)
 SLICES = 4
+ROW_DIGEST = "_row_digest"
 
 _SUM = T.DecimalType(38, 0)
 
@@ -45,24 +47,27 @@ def table_checksum(
     )
 
 
-def digest_sums(df: DataFrame) -> list[Column]:
+def with_row_digest(df: DataFrame) -> DataFrame:
+    """The table with the SHA-256 of each row, computed once for all sums over it."""
+    return df.withColumn(ROW_DIGEST, F.sha2(row_text(df, checksum_columns(df, ())), 256))
+
+
+def digest_sums() -> list[Column]:
     """Aggregates whose values identify the multiset of rows: a count and four 60-bit sums."""
-    digest = F.sha2(row_text(df, checksum_columns(df, ())), 256)
     slices = [
-        F.coalesce(F.sum(hash_slice(digest, i)), F.lit(0)).cast(_SUM).alias(f"digest_{i}") for i in range(SLICES)
+        F.coalesce(F.sum(hash_slice(ROW_DIGEST, i)), F.lit(0)).cast(_SUM).alias(f"digest_{i}") for i in range(SLICES)
     ]
     return [F.count(F.lit(1)).alias("row_count"), *slices]
 
 
 def table_digests(tables: Mapping[str, DataFrame]) -> DataFrame:
     """One digest row per table."""
-    parts = [
-        df.agg(*digest_sums(df)).select(F.lit(name).alias("table_name"), "*") for name, df in sorted(tables.items())
-    ]
-    first, *rest = parts
-    for part in rest:
-        first = first.unionByName(part)
-    return first
+    return append_union(
+        [
+            with_row_digest(df).agg(*digest_sums()).select(F.lit(name).alias("table_name"), "*")
+            for name, df in sorted(tables.items())
+        ]
+    )
 
 
 def compare_tables(
@@ -74,9 +79,6 @@ def compare_tables(
         for side, tables in (("left", left), ("right", right))
         for name, df in sorted(tables.items())
     ]
-    stacked = sides[0]
-    for side in sides[1:]:
-        stacked = stacked.unionByName(side)
     values = [
         F.max(F.when(F.col("side") == side, F.col(column))).alias(f"{side}_{label}")
         for side in ("left", "right")
@@ -85,14 +87,14 @@ def compare_tables(
     same = (F.col("left_rows").eqNullSafe(F.col("right_rows"))) & (
         F.col("left_checksum").eqNullSafe(F.col("right_checksum"))
     )
-    return stacked.groupBy("table_name").agg(*values).withColumn("matches", same)
+    return append_union(sides).groupBy("table_name").agg(*values).withColumn("matches", same)
 
 
 def table_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Rows per table."""
-    parts = [df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(n).alias("table_name"), "row_count")
-             for n, df in sorted(tables.items())]
-    first, *rest = parts
-    for part in rest:
-        first = first.unionByName(part)
-    return first
+    return append_union(
+        [
+            df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
+            for name, df in sorted(tables.items())
+        ]
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import age_seconds
-from tidemark.operators.revisions import append_union
+from tidemark.operators.revisions import append_union, key_set
 from tidemark.schemas import EVENT_TYPES
 
 HOUR = 3600
@@ -93,7 +93,7 @@ def _unknown_parents(name: str, child: DataFrame, column: str, parent: DataFrame
     counted = child.where(F.col(column).isNotNull()).groupBy(F.col(column).alias(key)).agg(
         F.count(F.lit(1)).alias("n")
     )
-    lost = counted.join(parent.select(key), key, "left_anti")
+    lost = counted.join(key_set(parent, key), key, "left_anti")
     return lost.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("violations")).select(F.lit(name).alias("rule"), "violations")
 
 

@@ -19,6 +19,15 @@ def _names(columns: str | Sequence[str]) -> list[str]:
     return [columns] if isinstance(columns, str) else list(columns)
 
 
+def key_set(df: DataFrame, key: str) -> DataFrame:
+    """The distinct keys of one side of a semi or anti join.
+
+    Repeats are removed before the shuffle, so a key that fills the side arrives once per input
+    task; the shuffle itself is the one the join needs anyway.
+    """
+    return df.select(key).distinct()
+
+
 def newest_per_key(
     df: DataFrame, key: str | Sequence[str], order: Sequence[str] = SOURCE_ORDER, keep: int = 1
 ) -> DataFrame:
@@ -48,7 +57,7 @@ def live_keys(df: DataFrame, key: str, order: Sequence[str] = SOURCE_ORDER) -> D
 
 def hard_delete_keys(raw: DataFrame, source_keys: DataFrame, key: str, order: Sequence[str] = SOURCE_ORDER) -> DataFrame:
     """Keys that are live in the log but gone from the source."""
-    return live_keys(raw, key, order).join(source_keys.select(key), key, "left_anti")
+    return live_keys(raw, key, order).join(key_set(source_keys, key), key, "left_anti")
 
 
 def tombstones(
@@ -64,7 +73,7 @@ def tombstones(
     Ranking, the live test and the anti join all run on ``key``, so one shuffle of the log serves
     every key at once.
     """
-    gone = latest_live(raw, key, order).join(source_keys.select(key), key, "left_anti")
+    gone = latest_live(raw, key, order).join(key_set(source_keys, key), key, "left_anti")
     marked = gone.withColumns({"is_deleted": F.lit(True), "updated_at": now})
     return marked.select(*business)
 
@@ -73,7 +82,7 @@ def latest_rows_for_keys(
     raw: DataFrame, keys: DataFrame, key: str, business: Sequence[str], order: Sequence[str] = SOURCE_ORDER
 ) -> DataFrame:
     """Newest full row, deleted or not, of the given keys. ``keys`` may repeat a key."""
-    return newest_per_key(raw, key, order).join(keys.select(key), key, "left_semi").select(*business)
+    return newest_per_key(raw, key, order).join(key_set(keys, key), key, "left_semi").select(*business)
 
 
 def upsert_latest(target: DataFrame, changes: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
@@ -87,7 +96,7 @@ def upsert_latest(target: DataFrame, changes: DataFrame, key: str, order: Sequen
 
 def insert_if_absent(target: DataFrame, new: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """The rows of ``new`` to append: one per key, and only keys the target does not hold."""
-    return newest_per_key(new, key, order).join(target.select(key), key, "left_anti")
+    return newest_per_key(new, key, order).join(key_set(target, key), key, "left_anti")
 
 
 def append_union(batches: Sequence[DataFrame]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import age_seconds
-from tidemark.operators.revisions import append_union
+from tidemark.operators.revisions import append_union, key_set
 
 BATCH_PROBLEMS = ("LOADING", "FAILED", "QUARANTINED")
 RUN_PROBLEMS = ("RUNNING", "FAILED")
@@ -62,7 +62,7 @@ def release_problems(releases: DataFrame, as_of: Column) -> DataFrame:
 
 def released_runs(runs: DataFrame, publications: DataFrame) -> DataFrame:
     """Runs that published at least one dataset."""
-    return runs.join(publications.select("run_id"), "run_id", "left_semi")
+    return runs.join(key_set(publications, "run_id"), "run_id", "left_semi")
 
 
 def slo_breaches(ledgers: Mapping[str, DataFrame], as_of: Column) -> DataFrame:

@@ -12,7 +12,7 @@ from datetime import UTC
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.checksums import SLICES, digest_sums
+from tidemark.operators.checksums import ROW_DIGEST, SLICES, digest_sums, with_row_digest
 from tidemark.operators.revisions import append_union
 from tidemark.schemas import BATCH_OBJECTS
 from tidemark.sources import storage
@@ -63,9 +63,8 @@ def object_manifest(files: DataFrame) -> DataFrame:
     One columnar pass with partial sums per task: large files are split as usual, and none is
     ever held whole in memory.
     """
-    columns = digest_sums(files)
-    tagged = files.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_size").alias("_size"))
-    sums = tagged.groupBy("_path", "_size").agg(*columns)
+    place = {"_path": F.col("_metadata.file_path"), "_size": F.col("_metadata.file_size")}
+    sums = with_row_digest(files).withColumns(place).groupBy("_path", "_size").agg(*digest_sums())
     return sums.select(
         F.col("_path").alias("object_path"),
         _checksum_text().alias("checksum"),
@@ -85,12 +84,11 @@ def known_batch(spark: SparkSession, root: str, batch_id: str) -> Batch | None:
 def _write_observed(df: DataFrame, path: str) -> dict[str, object]:
     """Write a table and return its digest and newest update, measured on the rows as written.
 
-    The observation is the last step before the write, so it runs in the stage whose tasks commit
-    the files and counts every committed task once.
+    The observation sits in the stage that writes, so every committed task is counted once.
     """
     measured = Observation()
     extra = [F.max("updated_at").alias("newest")] if "updated_at" in df.columns else []
-    observed = df.observe(measured, *digest_sums(df), *extra)
+    observed = with_row_digest(df).observe(measured, *digest_sums(), *extra).drop(ROW_DIGEST)
     observed.write.option("maxRecordsPerFile", ROWS_PER_FILE).mode("overwrite").parquet(path)
     return measured.get
 

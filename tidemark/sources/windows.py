@@ -8,6 +8,7 @@ from datetime import UTC, date, datetime, time, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.revisions import append_union
 from tidemark.schemas import RAW_TABLES
 
 EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
@@ -67,10 +68,7 @@ def extract(
 def source_watermark(tables: Iterable[DataFrame]) -> DataFrame:
     """The greatest ``updated_at`` over all tables of a source."""
     highs = [df.agg(F.max("updated_at").alias("updated_at")) for df in tables]
-    stacked = highs[0]
-    for high in highs[1:]:
-        stacked = stacked.unionByName(high)
-    return stacked.agg(F.max("updated_at").alias("updated_at"))
+    return append_union(highs).agg(F.max("updated_at").alias("updated_at"))
 
 
 def cursor_predicates(cursor: str, lower: datetime, upper: datetime, slices: int) -> list[str]:

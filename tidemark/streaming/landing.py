@@ -113,7 +113,9 @@ def refresh_funnel_metrics(stream: DataFrame, log_path: str, metrics_path: str,
             return
         span = landed.where(F.col(DAY).between(*days))
         touched = span.where(F.col(BATCH) == name).select(DAY).distinct()
-        history = span.join(touched, DAY, "left_semi").drop(DAY, BATCH)
+        # One row per calendar day at most, so the broadcast is bounded and a day that holds most
+        # of the log is not sent to one task.
+        history = span.join(F.broadcast(touched), DAY, "left_semi").drop(DAY, BATCH)
         metrics = campaign_event_metrics(latest_live(history, "event_id"))
         # A row without a campaign per touched day, so a day that lost all its events is replaced too.
         zeros = [F.lit(0).cast("long").alias(count) for count in FUNNEL_COUNTS]
