@@ -120,6 +120,21 @@ def _generic_landing(raw):
     return rows.drop("batch_id", "ingested_at")
 
 
+def _generic_fields(raw):
+    records = raw["customers"].select("customer_id", "email", "country", "updated_at")
+    log = raw_load.generic_records(records, "crm", "customers", "b-1", windows.moment(AS_OF))
+    return raw_load.generic_fields(log, "customers", records.schema)
+
+
+def _source_fingerprint(tables):
+    return catalog_csv.fingerprint(_catalog_text(tables).select(F.concat_ws(",", "*").alias("value")))
+
+
+def _business_columns(raw):
+    log = raw["campaign_spend"]
+    return log.select(*projection.business_columns(log))
+
+
 def _load_guard(raw):
     log = raw["customers"]
     extra = F.when(F.col("batch_id").endswith("2"), 1).otherwise(0)
@@ -330,6 +345,8 @@ def queries() -> dict[str, Query]:
         "raw_audit_append": _audit_append,
         "contract_projection": _contract_projection,
         "generic_landing": _generic_landing,
+        "generic_fields": _generic_fields,
+        "business_columns": _business_columns,
         "load_guard": _load_guard,
         "batch_identity": lambda raw: checksums.table_digests({n: raw[n] for n in ("refunds", "campaign_spend")}),
         "upsert_latest": _upsert,
@@ -365,7 +382,11 @@ def queries() -> dict[str, Query]:
     }
     over_tables = {
         "csv_contract": lambda t: catalog_csv.catalog_violations(_catalog_text(t)),
+        "source_fingerprint": _source_fingerprint,
         "object_manifest": _object_manifest,
+        "snapshots_by_name": lambda t: projection.with_prefix(
+            views.publication_manifest(t), "snapshot_table", "mart_daily_revenue__"
+        ).select("snapshot_table", "created_at"),
         "released_runs": lambda t: slo.released_runs(views.pipeline_run(t), views.publication_manifest(t)).select(
             "run_id", "run_type", "status"
         ),

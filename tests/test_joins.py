@@ -33,21 +33,23 @@ def skewed(spark):
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_balanced_join_equals_plain_join(skewed, how):
     facts, dimension = skewed
-    hot = joins.most_frequent_keys(facts, "c", 3)
-    ours = joins.balanced_join(facts, dimension, "c", "fact", hot, how).select("fact", "c", "d")
+    hot = joins.hot_keys(facts, "c", rows_per_task=100)
+    assert [(r.c, r.rows) for r in hot.collect()] == [("c0", 10_000)]
+    ours = joins.balanced_join(facts, dimension, "c", "fact", hot, how, rows_per_task=100).select("fact", "c", "d")
     theirs = facts.join(dimension, "c", how).select("fact", "c", "d")
     assert ours.exceptAll(theirs).isEmpty() and theirs.exceptAll(ours).isEmpty()
 
 
 def test_balanced_join_spreads_the_hot_key(spark, skewed):
     facts, dimension = skewed
-    names = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    names = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")
     before = {name: spark.conf.get(name) for name in names}
     try:
         spark.conf.set(names[0], "false")
         spark.conf.set(names[1], "-1")
-        hot = joins.most_frequent_keys(facts, "c", 3)
-        joined = joins.balanced_join(facts, dimension, "c", "fact", hot, salts=64)
+        spark.conf.set(names[2], "32")
+        hot = joins.hot_keys(facts, "c", rows_per_task=100)
+        joined = joins.balanced_join(facts, dimension, "c", "fact", hot, rows_per_task=100)
         sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
         plain = facts.join(dimension, "c")
         lumps = [r["count"] for r in plain.groupBy(F.spark_partition_id()).count().collect()]
@@ -58,6 +60,14 @@ def test_balanced_join_spreads_the_hot_key(spark, skewed):
     assert max(sizes) < 0.25 * sum(sizes)
 
 
+def test_even_data_repeats_no_dimension_row(spark, skewed):
+    facts, dimension = skewed
+    hot = joins.hot_keys(facts, "c")
+    assert hot.isEmpty()
+    joined = joins.balanced_join(facts, dimension, "c", "fact", hot)
+    assert joined.count() == facts.join(dimension, "c").count()
+
+
 def test_other_join_types_are_refused(skewed):
     with pytest.raises(ValueError):
-        joins.balanced_join(*skewed, "c", "fact", skewed[0].select("c").limit(1), how="full")
+        joins.balanced_join(*skewed, "c", "fact", joins.hot_keys(skewed[0], "c"), how="full")

@@ -17,6 +17,11 @@ def business_columns(df: DataFrame) -> list[str]:
     return [name for name in df.columns if name not in AUDIT.names]
 
 
+def with_prefix(df: DataFrame, column: str, prefix: str) -> DataFrame:
+    """Rows whose text starts with a prefix, such as the snapshots of one mart by name."""
+    return df.where(F.col(column).startswith(prefix))
+
+
 def _coerced(name: str, kind: T.DataType) -> Column:
     value = F.col(f"`{name}`").cast(kind)
     return to_millis(value) if isinstance(kind, T.TimestampType) else value

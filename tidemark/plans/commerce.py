@@ -16,7 +16,7 @@ from tidemark.functions.columns import (
     total_or_zero,
     utc_day,
 )
-from tidemark.operators.joins import balanced_join, left_join_defaults, most_frequent_keys
+from tidemark.operators.joins import balanced_join, hot_keys, left_join_defaults
 from tidemark.operators.revisions import latest_live
 from tidemark.schemas import EVENT_TYPES, MARTS, RAW_TABLES
 
@@ -114,8 +114,8 @@ def mart_daily_revenue(core: DataFrame) -> DataFrame:
 
 
 def mart_customer_orders(core: DataFrame, customers: DataFrame, raw_orders: DataFrame) -> DataFrame:
-    """Orders of live customers. The busiest customers, counted in the raw orders, are spread."""
-    busiest = most_frequent_keys(raw_orders, "customer_id")
+    """Orders of live customers. Very busy customers, counted in the raw orders, are spread."""
+    busiest = hot_keys(raw_orders, "customer_id")
     profile = customers.select("customer_id", F.col("email").alias("customer_email"), "country")
     joined = balanced_join(core, profile, "customer_id", "order_id", busiest)
     return joined.select(*[name for name in MARTS["mart_customer_orders"].names if name != "published_at"])

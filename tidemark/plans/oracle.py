@@ -337,6 +337,14 @@ QUERIES: dict[str, str] = {
                    || '","email":"' || email || '","updated_at":"' || strftime(updated_at, '%Y-%m-%dT%H:%M:%S')
                    || '.000Z"}' as record_json
           from raw_customers)""",
+    "generic_fields": "select customer_id, email, country, updated_at from raw_customers",
+    "business_columns": "select spend_id, campaign_id, spend_date, amount, updated_at, is_deleted from raw_campaign_spend",
+    "source_fingerprint": "select sha256(concat_ws(':', count(*)::varchar, "
+        + ", ".join(f"cast(sum({_slice('h', i)}) as decimal(38,0))::varchar" for i in range(4))
+        + ")) as fingerprint from (select sha256(concat_ws(',', product_id, product_name, category, unit_cost, "
+        "updated_at)) as h from catalog_text)",
+    "snapshots_by_name": """
+        select snapshot_table, created_at from publication_manifest where snapshot_table like 'mart_daily_revenue__%'""",
     "load_guard": """
         select b.batch_id, b.expected, coalesce(r.existing, 0) as existing,
                case when coalesce(r.existing, 0) = b.expected then 'skip'

@@ -62,15 +62,18 @@ def read_catalog(spark: SparkSession, path: str, multi_line: bool = True) -> Dat
     return catalog_rows(read_text_columns(spark, path, multi_line))
 
 
-def text_fingerprint(spark: SparkSession, path: str) -> str:
-    """A fingerprint of the lines of a text source, built from the SHA-256 of each line.
+def fingerprint(lines: DataFrame) -> DataFrame:
+    """A fingerprint of the lines (``value``) of a text source, built from the SHA-256 of each.
 
     Computed as a sum over tasks, so no file has to fit into one task.
     """
-    digest = F.sha2("value", 256)
-    sums = [F.coalesce(F.sum(hash_slice(digest, i)), F.lit(0)).cast("string") for i in range(4)]
-    line = F.concat_ws(":", F.count(F.lit(1)).cast("string"), *sums)
-    return spark.read.text(path).agg(F.sha2(line, 256)).first()[0]
+    digests = lines.select(F.sha2("value", 256).alias("digest"))
+    sums = [F.coalesce(F.sum(hash_slice("digest", i)), F.lit(0)).cast("decimal(38,0)").cast("string") for i in range(4)]
+    return digests.agg(F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), *sums), 256).alias("fingerprint"))
+
+
+def text_fingerprint(spark: SparkSession, path: str) -> str:
+    return fingerprint(spark.read.text(path)).first()[0]
 
 
 def changed_since(fingerprint: str, checkpoint: dict[str, object] | None) -> bool:
