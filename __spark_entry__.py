@@ -240,13 +240,13 @@ def _funnel_listing(raw):
 
 
 class _LateRefunds(views.RawViews):
-    """The raw tables with one more refund of 10.00 for every order whose key ends in 7."""
+    """The raw tables with one more, late refund of 10.00 for every payment."""
 
     def _plan(self, name):
         log = super()._plan(name)
         if name != "refunds":
             return log
-        paid = self["payments"].where(F.col("payment_id").endswith("7"))
+        paid = self["payments"]
         late = windows.moment(datetime(2026, 1, 4, tzinfo=UTC))
         fresh = {"status": F.lit("succeeded"), "amount": F.lit(10).cast(MONEY), "succeeded_at": late, "updated_at": late,
                  "source_updated_at": late, "refund_id": F.concat(F.lit("late_"), F.col("payment_id"))}

@@ -120,7 +120,7 @@ def test_window_is_half_open_and_reaches_the_scan(spark, tmp_path):
 def test_cursor_predicates_cover_every_row_once():
     spans = windows.cursor_predicates("updated_at", datetime(2026, 1, 1, tzinfo=UTC), datetime(2026, 1, 5, tzinfo=UTC), 4)
     assert len(spans) == 4
-    assert spans[0].startswith("updated_at >= TIMESTAMP '2026-01-01")
+    assert spans[0].startswith("updated_at >= TIMESTAMP WITH TIME ZONE '2026-01-01 00:00:00.000000+00:00'")
     for left, right in zip(spans, spans[1:]):
         assert left.split(" < ")[1] == right.split(" AND ")[0].split(" >= ")[1]
     assert "<" not in spans[-1]

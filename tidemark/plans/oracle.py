@@ -236,14 +236,14 @@ CTES: dict[str, str] = {
                timestamp '2024-01-28' + to_hours(cast(s_suppkey % 72 as integer)) as updated_at
         from supplier""",
     "publication_manifest": """
-        select 'pub_' || event_id::varchar as publication_id, 'run_' || event_id::varchar as run_id,
+        select 'pub_' || event_id::varchar as publication_id,
+               'run_' || (event_id - event_id % 2)::varchar as run_id,
                d.dataset, d.dataset || '__' || event_id::varchar as snapshot_table,
                case when event_id % 4 <> 0 then 'COMMITTED' else 'FAILED' end as status,
                case when event_id % 4 <> 0 then cast(ts as timestamp) end as committed_at,
                cast(ts as timestamp) as created_at
         from events join (values (0, 'mart_daily_revenue'), (1, 'mart_conversion_funnel'), (2, 'mart_customer_orders'))
-          as d(place, dataset) on d.place = event_id % 3
-        where event_id % 2 = 0""",
+          as d(place, dataset) on d.place = event_id % 3""",
     "dataset_release": """
         select 'rel_' || event_id::varchar as release_id, 'run_' || event_id::varchar as run_id,
                case event_id % 6 when 0 then 'PREPARING' when 1 then 'PARTIAL' when 2 then 'FAILED'
@@ -453,7 +453,7 @@ QUERIES: dict[str, str] = {
         from mart_daily_revenue d left join (
           select cast(ordered_at as date)::varchar || ':' || currency as grain_key,
                  sum(cast(10 as decimal(18,2))) as late
-          from core_order_financial where paid_amount > 0 and order_id like '%7' group by 1) l
+          from core_order_financial where paid_amount > 0 group by 1) l
         on d.grain_key = l.grain_key""",
     "duplicate_keys": """
         select order_item_id, count(*) as occurrences from raw_order_items group by order_item_id having count(*) > 1""",

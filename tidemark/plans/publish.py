@@ -22,6 +22,7 @@ from tidemark.operators.quality import mart_tests
 from tidemark.operators.revisions import beyond_newest
 from tidemark.plans import commerce
 from tidemark.schemas import MARTS
+from tidemark.session import together
 from tidemark.sources import storage
 from tidemark.sources.landing import NAMESPACE
 from tidemark.sources.ledger import Ledger, utc_now
@@ -130,7 +131,9 @@ class Gold:
         known = found.asDict() if found else None
         live = self.live(dataset)
         live_path = live.candidate_path if live else None
-        candidate_sum, live_sum = self.checksum(path), self.checksum(live_path)
+        candidate_sum, live_sum = together(
+            self.spark, lambda: self.checksum(path), lambda: self.checksum(live_path)
+        )
         fields = known or {
             "publication_id": publication, "run_id": run_id, "dataset": dataset, "candidate_path": path,
             "candidate_checksum": candidate_sum,
@@ -212,21 +215,33 @@ def build_candidates(
     """Write all three marts as candidates and return them as written.
 
     Order finance feeds two marts, so it is written once and read back, which also keeps a lost
-    executor from costing the whole chain again.
+    executor from costing the whole chain again. Jobs that do not depend on each other run at once.
     """
     spark = gold.spark
     core_path = f"{gold.root}/core/{run_id}"
-    commerce.core_order_financial(raw).write.mode("overwrite").parquet(core_path)
-    core = spark.read.parquet(core_path)
-    marts = {
-        "mart_daily_revenue": commerce.mart_daily_revenue(core),
-        "mart_conversion_funnel": commerce.mart_conversion_funnel(raw),
-        "mart_customer_orders": commerce.mart_customer_orders(
-            core, commerce.staging(raw, "customers"), raw["orders"]
-        ),
+
+    def write(mart: DataFrame, name: str) -> DataFrame:
+        path = gold.write_candidate(mart, name, run_id, published_at)
+        return spark.read.schema(MARTS[name]).parquet(path)
+
+    def orders() -> tuple[DataFrame, DataFrame]:
+        commerce.core_order_financial(raw).write.mode("overwrite").parquet(core_path)
+        core = spark.read.parquet(core_path)
+        customers = commerce.staging(raw, "customers")
+        return tuple(
+            together(
+                spark,
+                lambda: write(commerce.mart_daily_revenue(core), "mart_daily_revenue"),
+                lambda: write(commerce.mart_customer_orders(core, customers, raw["orders"]), "mart_customer_orders"),
+            )
+        )
+
+    (revenue, customer_orders), funnel = together(
+        spark, orders, lambda: write(commerce.mart_conversion_funnel(raw), "mart_conversion_funnel")
+    )
+    return {
+        "mart_daily_revenue": revenue, "mart_conversion_funnel": funnel, "mart_customer_orders": customer_orders
     }
-    paths = {name: gold.write_candidate(mart, name, run_id, published_at) for name, mart in marts.items()}
-    return {name: spark.read.schema(MARTS[name]).parquet(path) for name, path in paths.items()}
 
 
 def rebuild(

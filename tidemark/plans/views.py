@@ -277,9 +277,9 @@ def publication_manifest(t: Tables) -> DataFrame:
         "mart_customer_orders"
     )
     committed = _mod("event_id", 4) != 0
-    return t["events"].where(_mod("event_id", 2) == 0).select(
+    return t["events"].select(
         _text("pub_", "event_id").alias("publication_id"),
-        _text("run_", "event_id").alias("run_id"),
+        _text("run_", F.col("event_id") - _mod("event_id", 2)).alias("run_id"),
         dataset.alias("dataset"),
         F.concat(dataset, F.lit("__"), F.col("event_id").cast("string")).alias("snapshot_table"),
         F.when(committed, "COMMITTED").otherwise("FAILED").alias("status"),

@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
 
+Result = TypeVar("Result")
+
 
 def build_session(name: str = "tidemark", master: str | None = None, **conf: object) -> SparkSession:
     """A session with the settings the operators rely on; keyword names use ``__`` for dots."""
@@ -44,3 +50,13 @@ def shared_dir(spark: SparkSession) -> str:
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A folder of its own for one run below the shared folder."""
     return f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def together(spark: SparkSession, *jobs: Callable[[], Result]) -> list[Result]:
+    """Run a few independent Spark jobs at once, so the tail of one does not idle the cluster.
+
+    Results come in the order of the jobs; the first error is raised after all have ended.
+    """
+    with ThreadPoolExecutor(max_workers=max(1, len(jobs))) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]
+    return [job.result() for job in running]

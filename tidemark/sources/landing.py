@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.checksums import ROW_DIGEST, SLICES, digest_sums, with_row_digest
 from tidemark.operators.revisions import append_union
 from tidemark.schemas import BATCH_OBJECTS
+from tidemark.session import together
 from tidemark.sources import storage
 from tidemark.sources.ledger import Ledger, utc_now
 
@@ -112,7 +113,8 @@ def land_batch(
     last; a run that dies in between leaves files no manifest names, and its repeat takes over.
     """
     incoming = f"{root}/incoming/{uuid.uuid4().hex}"
-    digests = {name: _write_observed(df, f"{incoming}/{name}") for name, df in tables.items()}
+    writes = [lambda name=name, df=df: _write_observed(df, f"{incoming}/{name}") for name, df in tables.items()]
+    digests = dict(zip(tables, together(spark, *writes)))
     newest = [at for values in digests.values() if (at := values.pop("newest", None)) is not None]
     if watermark is None:
         watermark = {"updated_at": max(newest).astimezone(UTC).isoformat()} if newest else {}

@@ -78,7 +78,7 @@ def cursor_predicates(cursor: str, lower: datetime, upper: datetime, slices: int
     """
     step = (upper - lower) / slices
     edges = [lower + step * i for i in range(slices)]
-    stamps = [f"TIMESTAMP '{edge.astimezone(UTC):%Y-%m-%d %H:%M:%S.%f}+00:00'" for edge in edges]
+    stamps = [f"TIMESTAMP WITH TIME ZONE '{edge.astimezone(UTC):%Y-%m-%d %H:%M:%S.%f}+00:00'" for edge in edges]
     spans = [f"{cursor} >= {a} AND {cursor} < {b}" for a, b in zip(stamps, stamps[1:])]
     return [*spans, f"{cursor} >= {stamps[-1]}"]
 
