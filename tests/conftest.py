@@ -17,7 +17,7 @@ def spark(tmp_path_factory):
     session = build_session(
         "tests",
         "local[8]",
-        spark__sql__shuffle__partitions=8,
+        spark__sql__shuffle__partitions=3,
         spark__ui__enabled="false",
         spark__driver__memory="6g",
         spark__sql__maxMetadataStringLength=10000,
