@@ -12,18 +12,13 @@ from tidemark.sources.ledger import Ledger
 MART = "mart_daily_revenue"
 
 
-def revenue(spark, scale=1):
-    mart = commerce.mart_daily_revenue(commerce.core_order_financial(seed.raw(spark)))
-    return mart.withColumn("net_revenue", (F.col("net_revenue") * scale).cast("decimal(38,2)"))
-
-
 @pytest.fixture(scope="module")
 def mart(spark, tmp_path_factory):
-    """The mart in four versions that differ in one column, written once for this module."""
-    home = str(tmp_path_factory.mktemp("marts"))
-    for scale in range(1, 7):
-        revenue(spark, scale).coalesce(1).write.parquet(f"{home}/{scale}")
-    return lambda scale: spark.read.parquet(f"{home}/{scale}")
+    """The mart, built once, with its net revenue multiplied."""
+    path = f"{tmp_path_factory.mktemp('mart')}/revenue"
+    commerce.mart_daily_revenue(commerce.core_order_financial(seed.raw(spark))).coalesce(1).write.parquet(path)
+    net = F.col("net_revenue")
+    return lambda scale: spark.read.parquet(path).withColumn("net_revenue", (net * scale).cast("decimal(38,2)"))
 
 
 @pytest.fixture
