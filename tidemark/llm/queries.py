@@ -16,3 +16,5 @@ def op5_near_dedup(spark, folder):
 
 
 QUERIES = {"op5_near_dedup": op5_near_dedup}
+
+SQL: dict[str, str] = {}
