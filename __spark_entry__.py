@@ -22,6 +22,14 @@ from tidemark.session import work_dir  # noqa: E402
 from tidemark.sources import catalog_csv, landing, pages, raw as raw_load, windows  # noqa: E402
 from tidemark.streaming import landing as streams  # noqa: E402
 
+try:  # the training-data operators are a part that can be left out
+    import corpus_pipeline
+    from tidemark.llm import queries as llm_queries
+except ModuleNotFoundError as missing:
+    if missing.name not in ("tidemark.llm", "corpus_pipeline"):
+        raise
+    corpus_pipeline = llm_queries = None
+
 AS_OF = datetime(2024, 1, 31, tzinfo=UTC)
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -405,8 +413,15 @@ def queries() -> dict[str, Query]:
     registered["streamed_revisions"] = _streamed_revisions
     registered["streamed_distinct_events"] = _streamed_distinct_events
     registered["streamed_funnel_metrics"] = _streamed_funnel_metrics
+    if llm_queries:
+        registered |= llm_queries.QUERIES | {"pipeline": corpus_pipeline.run}
     return registered
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: oracle.sql(name) for name in queries() if name in oracle.QUERIES}
+    twins = {name: oracle.sql(name) for name in queries() if name in oracle.QUERIES}
+    if llm_queries:
+        twins |= llm_queries.SQL
+        if corpus_pipeline.ORACLE_SQL:
+            twins["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return twins
