@@ -2,19 +2,64 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.decontamination import contaminated
+from tidemark.llm.mixing import mixture
 from tidemark.llm.near_dedup import near_duplicates
+from tidemark.llm.quality_rules import quality_verdicts
+from tidemark.llm.token_output import stored_tokens
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_decontamination(spark, folder):
+    return contaminated(spark, _table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def op4_mixing(spark, folder):
+    return mixture(spark, _table(spark, folder, "documents"))
+
+
 def op5_near_dedup(spark, folder):
     return near_duplicates(spark, _table(spark, folder, "documents"))
 
 
-QUERIES = {"op5_near_dedup": op5_near_dedup}
+def op7_token_output(spark, folder):
+    return stored_tokens(spark, _table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_quality_rules(spark, folder):
+    return quality_verdicts(spark, _table(spark, folder, "documents"))
+
+
+QUERIES = {
+    query.__name__: query
+    for query in (op1_decontamination, op4_mixing, op5_near_dedup, op7_token_output, op9_quality_rules)
+}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_decontamination": r"""
+with texts as (
+  select 'd' as kind, doc_id as id, text from documents
+  union all select distinct 'b', item_id, text from benchmark
+), words as (
+  select kind, id, row_number() over () as n, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from texts
+), sets as (
+  select kind, id, n, unnest(list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end)) as s
+  from words
+), items as (select n, id, s, count(*) over (partition by n) as size from sets where kind = 'b'),
+hits as (
+  select d.id as doc_id, d.n as row_no, b.id as item_id, b.n as item_no, any_value(b.size) as item_shingles, count(*) as shared
+  from sets d join items b on d.s = b.s where d.kind = 'd' group by all
+)
+select doc_id, item_id, item_shingles::bigint as item_shingles, shared::bigint as shared_shingles
+from hits where 100 * shared >= 75 * item_shingles
+""",
+}
