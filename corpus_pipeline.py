@@ -1,20 +1,56 @@
-"""The corpus pipeline: documents to filtered, deduplicated, decontaminated, mixed token files."""
+"""The corpus pipeline: documents to filtered, deduplicated, decontaminated, mixed token files.
+
+Every stage works on all rows that the stage before it kept. Null, blank and very long texts, ties,
+repeated rows, empty tables and extra columns of any name are handled as the operators' docstrings say.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.decontamination import without_contaminated
+from tidemark.llm.mixing import mixed
 from tidemark.llm.near_dedup import drop_near_duplicates
+from tidemark.llm.quality_rules import keep_good
+from tidemark.llm.token_output import stored_tokens
 from tidemark.session import work_dir
 
 
-def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neither the base rules nor their group's robust estimate reject."""
+    return keep_good(spark, docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that with the smallest doc_id."""
     return drop_near_duplicates(spark, docs)
 
 
-STAGES = [("near_dedup", _near_dedup)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target takes it."""
+    return mixed(spark, docs)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of the mix, read back: doc_id, start, n_tokens and ids_crc32 per document."""
+    return stored_tokens(spark, docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("token_output", token_output),
+]
 
-# Registers, robust covariances and token ids are outside SQL; the tests use brute force instead.
+# Robust covariances, hash samples and token ids are outside SQL; the tests use brute force instead.
 ORACLE_SQL = None
 
 
