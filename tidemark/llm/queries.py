@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import chat_format
 from tidemark.llm.decontamination import contaminated
 from tidemark.llm.language_model import language_scores
+from tidemark.llm.line_dedup import repeated_lines
 from tidemark.llm.mixing import mixture
 from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.quality_gam import quality_scores
@@ -46,6 +47,10 @@ def op5_near_dedup(spark, folder):
     return near_duplicates(spark, _table(spark, folder, "documents"))
 
 
+def op6_line_dedup(spark, folder):
+    return repeated_lines(spark, _table(spark, folder, "documents"))
+
+
 def op7_token_output(spark, folder):
     return stored_tokens(spark, _table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -64,7 +69,7 @@ def op10_quality_gam(spark, folder):
 
 QUERIES = {
     query.__name__: query
-    for query in (op1_decontamination, op2_chat_format, op3_warc, op4_mixing, op5_near_dedup, op7_token_output,
+    for query in (op1_decontamination, op2_chat_format, op3_warc, op4_mixing, op5_near_dedup, op6_line_dedup, op7_token_output,
                   op8_language_model, op9_quality_rules, op10_quality_gam)
 }
 
