@@ -30,7 +30,7 @@ FLOORS = (0.5, 0.1, 0.1, 0.7, 0.1)
 SUBSET = 0.75
 STEPS = 5
 PRIOR = 50
-TAIL = 1e-9
+TAIL = 1e-4
 UNIT = 1000
 GROUP = ("lang", "source")
 
@@ -166,20 +166,26 @@ def _start(rows: DataFrame) -> DataFrame:
     return _factored(spread.withColumns(covariance))
 
 
-def _step(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """One concentration step: the closest three quarters of each group give its next estimate."""
-    pairs = [(i, j) for i in range(SIZE) for j in range(i, SIZE)]
+_PAIRS = [(i, j) for i in range(SIZE) for j in range(i, SIZE)]
+_SUMS = ["n", *[f"a{i}" for i in range(SIZE)], *[f"p{i}{j}" for i, j in _PAIRS]]
+
+
+def _closest(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+    """Count, sums and sums of products of the closest three quarters of each group; one row per group."""
     sums = [F.sum(f"v{i}").alias(f"a{i}") for i in range(SIZE)] + [
-        F.sum(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"p{i}{j}") for i, j in pairs]
+        F.sum(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"p{i}{j}") for i, j in _PAIRS]
     bin_of = F.floor(32 * F.log2(1 + _distance()))
     bins = _placed(rows, estimates).withColumn("bin", bin_of).groupBy(*GROUP, "bin").agg(F.count(F.lit(1)).alias("n"), *sums)
     group = Window.partitionBy(*GROUP)
     before = F.coalesce(F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     close = bins.withColumn("before", before).withColumn("total", F.sum("n").over(group))
     close = close.where(F.col("before") < F.ceil(SUBSET * F.col("total")))
-    names = ["n", *[f"a{i}" for i in range(SIZE)], *[f"p{i}{j}" for i, j in pairs]]
-    close = close.groupBy(*GROUP).agg(*[F.sum(name).alias(name) for name in names])
-    whole = close.agg(*[F.sum(F.col(name).cast("decimal(38,0)")).alias(name) for name in names]).first().asDict()
+    return close.groupBy(*GROUP).agg(*[F.sum(name).alias(name) for name in _SUMS])
+
+
+def _concentrated(close: DataFrame) -> DataFrame:
+    """The next estimate of each group from the sums of its closest documents."""
+    whole = close.agg(*[F.sum(F.col(name).cast("decimal(38,0)")).alias(name) for name in _SUMS]).first().asDict()
     count = float(whole["n"] or 1)
     centre = [float(whole[f"a{i}"] or 0) / count / UNIT for i in range(SIZE)]
     # A normal sample's closest three quarters have a smaller covariance than all of it, by this factor.
@@ -187,7 +193,7 @@ def _step(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     share = F.col("n") / (F.col("n") + PRIOR)
     means = {f"m{i}": F.col(f"a{i}") / F.col("n") / UNIT for i in range(SIZE)}
     covariance = {}
-    for i, j in pairs:
+    for i, j in _PAIRS:
         own = F.col(f"p{i}{j}") / F.col("n") / UNIT**2 - F.col(f"m{i}") * F.col(f"m{j}")
         prior = float(whole[f"p{i}{j}"] or 0) / count / UNIT**2 - centre[i] * centre[j]
         covariance[f"s{i}{j}"] = factor * (share * own + (1 - share) * F.lit(prior)) + (FLOORS[i] ** 2 if i == j else 0.0)
@@ -204,7 +210,8 @@ def estimates(spark: SparkSession, rows: DataFrame, folder: str) -> DataFrame:
 
     now = written(_start(rows), "start")
     for step in range(STEPS):
-        now = written(_step(rows, now), f"step-{step}")
+        close = written(_closest(rows, now), f"closest-{step}")
+        now = written(_concentrated(close), f"step-{step}")
     return now
 
 
