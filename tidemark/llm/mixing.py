@@ -3,8 +3,8 @@
 A source's target is a number of words. All its documents get the whole copies that the target holds
 for certain; the remainder is a sample without replacement in which a document's inclusion probability
 grows with the logarithm of its length. Documents are ranked by random odds divided by inclusion odds,
-u / (1 - u) over p / (1 - p), and taken in this order while the remainder holds; the document whose size
-comes closest to what is then left is added when that brings the source nearer to its target.
+u / (1 - u) over p / (1 - p), and taken in this order while the remainder holds. Up to three documents
+whose sizes come closest to what is then left are added, each if it brings the source nearer to its target.
 
 All of it is DataFrame operations. Ranks are cut by two levels of 1,024 bins a source, which are
 summed before the shuffle, and only the documents of the one bin that the cut falls into are ordered
@@ -22,6 +22,8 @@ from tidemark.session import work_dir
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 SEED = 20240601
+FILLS = 3
+PLACE = "struct<rank:bigint,doc_id:bigint,size:bigint>"
 _BITS = 10
 _SCALE = 1 << 40
 
@@ -85,13 +87,13 @@ def mixing_plan(spark: SparkSession, sizes: DataFrame) -> DataFrame:
 
     units = sizes.groupBy("doc_id", "source", "size").agg((F.count(F.lit(1)) * F.col("size")).alias("words"))
     units = written(units.withColumn("preference", _preference()), "units")
-    share = F.sum(F.col("preference").cast("decimal(38,0)") * F.col("words")) / F.sum("words")
+    share = F.sum(F.col("preference").cast("decimal(38,0)") * F.col("words")) / F.nullif(F.sum("words"), F.lit(0))
     preference = units.groupBy("source").agg(share.cast("double").alias("mean_preference"))
     targets = source_targets(units.select("source", F.col("words").alias("size")))
-    copies = F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0)).cast("int")
+    copies = F.coalesce(F.floor(F.col("target") / F.nullif("source_size", F.lit(0))), F.lit(0)).cast("int")
     sources = _joined(targets, preference).withColumn("copies", copies)
     sources = sources.withColumn("gap", F.greatest(F.lit(0.0), F.col("target") - F.col("copies") * F.col("source_size")))
-    sources = sources.withColumn("rest", F.coalesce(F.col("gap") / F.col("source_size"), F.lit(0.0)))
+    sources = sources.withColumn("rest", F.coalesce(F.col("gap") / F.nullif("source_size", F.lit(0)), F.lit(0.0)))
     sources = written(sources, "sources")
     ranked = written(_joined(units, sources.select("source", "rest", "mean_preference")).withColumn("rank", _rank())
                      .where("rank is not null").select("doc_id", "source", "size", "words", "rank"), "ranked")
@@ -113,28 +115,31 @@ def mixing_plan(spark: SparkSession, sizes: DataFrame) -> DataFrame:
     place = F.struct("rank", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "size")
     last = last.withColumn("place", place).where(F.col("taken") + F.col("upto") > F.col("gap"))
     first_out = written(last.groupBy("source").agg(F.min("place").alias("cut")), "cut")
-    # What is left is filled by the document outside whose size comes closest to it.
+    # What is left is filled by documents outside, each the one whose size comes closest.
+    ranked = ranked.withColumn("place", place)
     named = sources.alias("r").join(first_out.alias("s"), F.expr("r.source <=> s.source"), "left").select("r.*", "s.cut")
-    tried = _joined(ranked.withColumn("place", place), named.select("source", "gap", "cut"))
+    tried = _joined(ranked, named.select("source", "cut"))
     got = tried.groupBy("source").agg(F.sum(F.when(F.col("cut").isNull() | (F.col("place") < F.col("cut")), F.col("words")).otherwise(0)).alias("got"))
-    left = written(_joined(named, got).withColumn("left", F.col("gap") - F.col("got")), "left")
-    outside = _joined(ranked.withColumn("place", place), left.select("source", "left", "cut")).where("place >= cut and words > 0")
+    left = named.alias("r").join(got.alias("s"), F.expr("r.source <=> s.source"), "left").select(
+        "r.*", (F.col("gap") - F.coalesce("got", F.lit(0))).alias("left"), F.array().cast(f"array<{PLACE}>").alias("fills"))
+    left = written(left, "left-0")
     miss = F.abs(F.col("words") - F.col("left"))
-    fill = outside.where(miss < F.col("left")).groupBy("source").agg(F.min(F.struct(miss.alias("miss"), "place")).alias("fill"))
-    plan = left.alias("r").join(fill.alias("s"), F.expr("r.source <=> s.source"), "left")
-    # A source whose documents all have no words is in no rank table; its target is 0.
-    plan = plan.select("r.source", "r.source_size", "r.target", "r.copies", "r.rest", "r.mean_preference", "r.cut", F.col("s.fill.place").alias("fill"))
-    bare = sources.alias("r").join(plan.alias("s"), F.expr("r.source <=> s.source"), "left_anti")
-    nothing = bare.select("source", "source_size", "target", "copies", "rest", "mean_preference").withColumns(
-        {name: F.lit(None).cast(plan.schema[name].dataType) for name in ("cut", "fill")})
-    return written(plan.unionByName(nothing), "plan")
+    for turn in range(1, FILLS + 1):
+        outside = _joined(ranked, left.select("source", "left", "cut", "fills")).where(
+            (F.col("place") >= F.col("cut")) & (F.col("words") > 0) & (miss < F.col("left")) & ~F.array_contains("fills", F.col("place")))
+        fill = outside.groupBy("source").agg(F.min(F.struct(miss.alias("miss"), "place", "words")).alias("fill"))
+        left = left.alias("r").join(fill.alias("s"), F.expr("r.source <=> s.source"), "left").select("r.*", "s.fill").withColumns({
+            "fills": F.when(F.col("fill").isNull(), F.col("fills")).otherwise(F.array_append("fills", F.col("fill.place"))),
+            "left": F.col("left") - F.coalesce("fill.words", F.lit(0))}).drop("fill")
+        left = written(left, f"left-{turn}")
+    return left
 
 
 def with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """``rows`` (with doc_id, source and size) with source_size, target and taken_copies."""
     both = _joined(rows, plan).withColumn("preference", _preference()).withColumn("rank", _rank())
     place = F.struct("rank", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "size")
-    sampled = F.col("rank").isNotNull() & (F.col("cut").isNull() | (place < F.col("cut")) | F.coalesce(place == F.col("fill"), F.lit(False)))
+    sampled = F.col("rank").isNotNull() & (F.col("cut").isNull() | (place < F.col("cut")) | F.array_contains("fills", place))
     both = both.withColumn("taken_copies", F.col("copies") + F.when(sampled, 1).otherwise(0))
     return both.select(*rows.columns, "source_size", "target", "taken_copies")
 
