@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from tidemark.functions.columns import default_for
 from tidemark.operators import joins
@@ -17,57 +16,3 @@ def test_defaults_by_type_and_nullable_columns(spark):
 def test_no_default_for_nested_types(spark):
     with pytest.raises(TypeError):
         default_for(spark.createDataFrame([([1],)], "a array<int>").schema["a"].dataType)
-
-
-@pytest.fixture
-def skewed(spark):
-    """One customer holds half of all facts; some facts have no key or an unknown one."""
-    key = F.when(F.col("id") % 2 == 0, "c0").when(F.col("id") % 97 == 1, None).otherwise(
-        F.concat(F.lit("c"), (F.col("id") % 300).cast("string"))
-    )
-    facts = spark.range(20_000).select(F.col("id").alias("fact"), key.alias("c"))
-    dimension = spark.range(250).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("c"), F.col("id").alias("d"))
-    return facts, dimension
-
-
-@pytest.mark.parametrize("how", ["inner", "left"])
-def test_balanced_join_equals_plain_join(skewed, how):
-    facts, dimension = skewed
-    hot = joins.hot_keys(facts, "c", rows_per_task=100)
-    assert [(r.c, r.rows) for r in hot.collect()] == [("c0", 10_000)]
-    ours = joins.balanced_join(facts, dimension, "c", "fact", hot, how, rows_per_task=100).select("fact", "c", "d")
-    theirs = facts.join(dimension, "c", how).select("fact", "c", "d")
-    assert ours.exceptAll(theirs).isEmpty() and theirs.exceptAll(ours).isEmpty()
-
-
-def test_balanced_join_spreads_the_hot_key(spark, skewed):
-    facts, dimension = skewed
-    names = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")
-    before = {name: spark.conf.get(name) for name in names}
-    try:
-        spark.conf.set(names[0], "false")
-        spark.conf.set(names[1], "-1")
-        spark.conf.set(names[2], "32")
-        hot = joins.hot_keys(facts, "c", rows_per_task=100)
-        joined = joins.balanced_join(facts, dimension, "c", "fact", hot, rows_per_task=100)
-        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
-        plain = facts.join(dimension, "c")
-        lumps = [r["count"] for r in plain.groupBy(F.spark_partition_id()).count().collect()]
-    finally:
-        for name, value in before.items():
-            spark.conf.set(name, value)
-    assert max(lumps) > 0.5 * sum(lumps)
-    assert max(sizes) < 0.25 * sum(sizes)
-
-
-def test_even_data_repeats_no_dimension_row(spark, skewed):
-    facts, dimension = skewed
-    hot = joins.hot_keys(facts, "c")
-    assert hot.isEmpty()
-    joined = joins.balanced_join(facts, dimension, "c", "fact", hot)
-    assert joined.count() == facts.join(dimension, "c").count()
-
-
-def test_other_join_types_are_refused(skewed):
-    with pytest.raises(ValueError):
-        joins.balanced_join(*skewed, "c", "fact", joins.hot_keys(skewed[0], "c"), how="full")

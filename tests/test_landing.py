@@ -157,22 +157,6 @@ def test_layout_prunes_by_month_and_batch(spark, root):
     assert df.count() == 8
 
 
-def test_bucketed_log_is_ranked_without_a_shuffle(spark, tmp_path):
-    log = seed.raw(spark)["orders"]
-    assert raw.write_bucketed(log, "orders_bucketed", "order_id", 4, f"{tmp_path}/bucketed")
-    live = latest_live(spark.table("orders_bucketed"), "order_id")
-    assert live.count() == 3
-    assert "Exchange" not in live._jdf.queryExecution().executedPlan().toString()
-    spark.sql("drop table orders_bucketed")
-
-
-def test_a_hot_key_is_not_put_into_one_bucket(spark, tmp_path):
-    log = spark.range(1000).selectExpr("if(id < 400, 'hot', cast(id as string)) as k", "id")
-    assert not raw.write_bucketed(log, "hot_log", "k", 8, f"{tmp_path}/hot")
-    assert spark.table("hot_log").count() == 1000
-    spark.sql("drop table hot_log")
-
-
 def test_incremental_run_reads_back_to_the_lookback(spark, root):
     first = ingest.ingest_tables(spark, root, "shop", seed.sources(spark, ("orders",)))
     assert first.row_count == 3

@@ -124,3 +124,30 @@ def test_cursor_predicates_cover_every_row_once():
     for left, right in zip(spans, spans[1:]):
         assert left.split(" < ")[1] == right.split(" AND ")[0].split(" >= ")[1]
     assert "<" not in spans[-1]
+
+
+def test_moved_continuation_lines_are_a_change(spark, tmp_path):
+    head = "product_id,product_name,category,unit_cost,updated_at\n"
+    one = head + 'p1,"lamp\nred",home,1.00,2026-01-01T00:00:00Z\np2,"desk\noak",home,2.00,2026-01-01T00:00:00Z\n'
+    two = head + 'p1,"lamp\noak",home,2.00,2026-01-01T00:00:00Z\np2,"desk\nred",home,1.00,2026-01-01T00:00:00Z\n'
+    assert sorted(one.split("\n")) == sorted(two.split("\n"))
+    prints = [catalog_csv.text_fingerprint(spark, written(tmp_path, text, f"{i}.csv")) for i, text in enumerate((one, two))]
+    assert prints[0] != prints[1]
+
+
+def test_days_months_and_hashes_do_not_depend_on_the_zone(spark):
+    from tidemark.functions import columns
+
+    df = spark.range(1).select(F.timestamp_micros(F.lit(1767232800123456)).alias("at"), F.lit("x").alias("name"))
+    seen = set()
+    try:
+        for zone in ("UTC", "America/New_York", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            row = df.select(columns.utc_day("at").cast("string").alias("day"), columns.year_month("at").alias("month"),
+                            columns.utc_text("at").alias("text"), columns.record_hash(df, ["at", "name"]).alias("hash"),
+                            columns.record_json(["at", "name"]).alias("json")).first()
+            seen.add(tuple(row))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert len(seen) == 1
+    assert next(iter(seen))[:3] == ("2026-01-01", "202601", "2026-01-01 02:00:00.123456")

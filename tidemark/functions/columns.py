@@ -44,11 +44,18 @@ def grain_key(day: Column | str, currency: Column | str) -> Column:
 
 
 def utc_day(moment: Column | str) -> Column:
-    return F.to_date(col(moment))
+    """The UTC day of a timestamp, whatever the zone of the session."""
+    return F.date_from_unix_date(F.floor(F.unix_micros(col(moment)) / F.lit(86_400_000_000)).cast("int"))
+
+
+def utc_text(moment: Column | str) -> Column:
+    """A timestamp as UTC text, whatever the zone of the session."""
+    seconds = (F.unix_micros(col(moment)).cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
+    return (F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)).cast("string")
 
 
 def year_month(moment: Column | str) -> Column:
-    return F.date_format(col(moment), "yyyyMM")
+    return F.date_format(utc_day(moment), "yyyyMM")
 
 
 def to_millis(moment: Column | str) -> Column:
@@ -117,14 +124,25 @@ def row_text(df: DataFrame, columns: Sequence[str]) -> Column:
 
 
 def hash_slice(hex_digest: Column | str, index: int = 0) -> Column:
-    """Fifteen hex digits (60 bits) of a digest as an exact number that can be summed."""
+    """Fifteen hex digits (60 bits) of a digest as an exact number that can be summed.
+
+    A SHA-256 digest has five slices; the last holds the remaining four digits.
+    """
     piece = F.substring(col(hex_digest), 1 + 15 * index, 15)
     return F.conv(piece, 16, 10).cast(T.DecimalType(20, 0))
 
 
-def record_hash(columns: Sequence[str]) -> Column:
-    """SHA-256 of the compact JSON of the columns as strings, in name order and with NULLs kept."""
-    fields = F.struct(*[F.col(f"`{name}`").cast("string").alias(name) for name in sorted(columns)])
+def record_hash(df: DataFrame, columns: Sequence[str]) -> Column:
+    """SHA-256 of the compact JSON of the columns as strings, in name order and with NULLs kept.
+
+    Timestamps are written in UTC, so writers in different zones agree.
+    """
+
+    def text(name: str) -> Column:
+        value = F.col(f"`{name}`")
+        return utc_text(value) if isinstance(df.schema[name].dataType, T.TimestampType) else value.cast("string")
+
+    fields = F.struct(*[text(name).alias(name) for name in sorted(columns)])
     options = {"ignoreNullFields": "false", "writeNonAsciiCharacterAsCodePoint": "true"}
     return F.sha2(F.to_json(fields, options), 256)
 
@@ -132,4 +150,4 @@ def record_hash(columns: Sequence[str]) -> Column:
 def record_json(columns: Sequence[str]) -> Column:
     """Compact JSON of a record with its fields in name order and NULLs kept."""
     fields = F.struct(*[F.col(f"`{name}`") for name in sorted(columns)])
-    return F.to_json(fields, {"ignoreNullFields": "false"})
+    return F.to_json(fields, {"ignoreNullFields": "false", "timeZone": "UTC"})

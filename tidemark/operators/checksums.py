@@ -12,7 +12,7 @@ from tidemark.functions.columns import hash_slice, row_text
 from tidemark.operators.revisions import append_union
 
 EXCLUDED = ("published_at",)
-SLICES = 4
+SLICES = 5
 ROW_DIGEST = "_row_digest"
 
 _SUM = T.DecimalType(38, 0)
@@ -22,29 +22,30 @@ def checksum_columns(df: DataFrame, exclude: Sequence[str] = EXCLUDED) -> list[s
     return sorted(name for name in df.columns if name not in exclude)
 
 
-def _row_number(df: DataFrame, columns: Sequence[str], method: str) -> Column:
+def _row_numbers(df: DataFrame, columns: Sequence[str], method: str) -> list[Column]:
+    """Exact numbers that stand for a row: all slices of its digest, or one fast hash."""
     if method == "sha256":
-        return hash_slice(F.sha2(row_text(df, columns), 256))
+        digest = F.sha2(row_text(df, columns), 256)
+        return [hash_slice(digest, i) for i in range(SLICES)]
     if method == "xxhash64":
         # NULLs leave this hash unchanged, so the NULL pattern is hashed along with the values.
         flags = [F.col(f"`{name}`").isNull() for name in columns]
-        return F.xxhash64(*[F.col(f"`{name}`") for name in columns], *flags).cast(_SUM)
+        return [F.xxhash64(*[F.col(f"`{name}`") for name in columns], *flags).cast(_SUM)]
     raise ValueError(f"unknown checksum method: {method}")
 
 
 def table_checksum(
     df: DataFrame, exclude: Sequence[str] = EXCLUDED, method: str = "sha256"
 ) -> DataFrame:
-    """One row with the row count and the sum of the row hashes.
+    """One row with the row count and the sums of all slices of the row hashes, as text.
 
     Equal for equal multisets of rows whatever their order or partitioning. It is a partial sum
     per task and one small merge, so it scales with the scan alone.
     """
-    number = _row_number(df, checksum_columns(df, exclude), method)
-    return df.agg(
-        F.count(F.lit(1)).alias("row_count"),
-        F.coalesce(F.sum(number), F.lit(0)).cast(_SUM).alias("checksum"),
-    )
+    numbers = _row_numbers(df, checksum_columns(df, exclude), method)
+    named = df.select(*[number.alias(f"_{i}") for i, number in enumerate(numbers)])
+    sums = [F.coalesce(F.sum(f"_{i}"), F.lit(0)).cast(_SUM).cast("string") for i in range(len(numbers))]
+    return named.agg(F.count(F.lit(1)).alias("row_count"), F.concat_ws("-", *sums).alias("checksum"))
 
 
 def with_row_digest(df: DataFrame) -> DataFrame:
@@ -53,7 +54,7 @@ def with_row_digest(df: DataFrame) -> DataFrame:
 
 
 def digest_sums() -> list[Column]:
-    """Aggregates whose values identify the multiset of rows: a count and four 60-bit sums."""
+    """Aggregates whose values identify the multiset of rows: a count and the sums of all slices."""
     slices = [
         F.coalesce(F.sum(hash_slice(ROW_DIGEST, i)), F.lit(0)).cast(_SUM).alias(f"digest_{i}") for i in range(SLICES)
     ]

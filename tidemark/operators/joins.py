@@ -1,4 +1,4 @@
-"""Joins with defaults and joins that stay balanced on hot keys."""
+"""Joins with defaults."""
 
 from __future__ import annotations
 
@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import default_for
 
-ROWS_PER_TASK = 1_000_000
-MOST_HOT_KEYS = 100_000
-
 
 def left_join_defaults(
     left: DataFrame, right: DataFrame, on: Sequence[str], keep_null: Sequence[str] = ()
@@ -27,46 +24,3 @@ def left_join_defaults(
         if f.name not in on
     ]
     return left.join(right, list(on), "left").select(*left.columns, *filled)
-
-
-def hot_keys(df: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK, limit: int = MOST_HOT_KEYS) -> DataFrame:
-    """Keys with more rows than one task should get, with their row counts.
-
-    Counted with map-side partial sums over the key column alone. At most ``limit`` keys come
-    back, the largest first, which bounds what a join may broadcast.
-    """
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
-    return counts.where(F.col("rows") > rows_per_task).orderBy(F.col("rows").desc(), F.col(key)).limit(limit)
-
-
-def balanced_join(
-    facts: DataFrame,
-    dimension: DataFrame,
-    key: str,
-    spread_by: str,
-    hot: DataFrame,
-    how: str = "inner",
-    rows_per_task: int = ROWS_PER_TASK,
-) -> DataFrame:
-    """Join facts to a dimension that is unique on ``key`` without overloading one task.
-
-    A key of the ``hot`` list is cut into as many sub-keys as its rows fill tasks. Its fact rows
-    are placed by a hash of ``spread_by`` (not by a random number, so a re-run task places its
-    rows alike), and the one dimension row they meet is repeated once per sub-key. All other keys
-    keep the single sub-key 0, so in even data nothing is repeated. ``hot`` comes from
-    ``hot_keys`` and only steers placement: whatever it holds, every fact row meets its
-    dimension row exactly once. Only ``hot`` is broadcast, and its limit bounds it.
-    """
-    if how not in ("inner", "left"):
-        raise ValueError(f"unsupported join type: {how}")
-    most = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pieces = F.least(F.ceil(F.col("rows") / rows_per_task).cast("int"), F.lit(most))
-    cut = F.broadcast(hot.select(key, pieces.alias("_pieces")))
-    # Facts without a key stay unmatched in a left join wherever they are, so they are spread too.
-    parts = F.coalesce("_pieces", F.when(F.col(key).isNull(), most).otherwise(1))
-    salted_facts = facts.join(cut, key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread_by), parts).cast("int"))
-    copies = F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1)
-    salted_dimension = dimension.join(cut, key, "left").withColumn("_salt", F.explode(copies))
-    return (
-        salted_facts.drop("_pieces").join(salted_dimension.drop("_pieces"), [key, "_salt"], how).drop("_salt")
-    )

@@ -60,7 +60,11 @@ def freshness(tables: Mapping[str, DataFrame], as_of: Column) -> DataFrame:
 
 
 def source_net(payments: DataFrame, refunds: DataFrame) -> DataFrame:
-    """Succeeded payments less succeeded refunds over live rows, orphan refunds included."""
+    """Succeeded payments less succeeded refunds, orphan refunds included.
+
+    Takes the rows that stand: rows of the source, or the newest live revision of each key. A log of
+    revisions has to be ranked first, or a revised payment counts twice.
+    """
     good = (F.col("status") == "succeeded") & ~F.col("is_deleted")
     flows = payments.where(good).select("amount").unionByName(refunds.where(good).select((-F.col("amount")).alias("amount")))
     return flows.agg(F.coalesce(F.sum("amount"), F.lit(0)).cast("decimal(38,2)").alias("source_net"))

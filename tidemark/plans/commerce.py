@@ -16,7 +16,7 @@ from tidemark.functions.columns import (
     total_or_zero,
     utc_day,
 )
-from tidemark.operators.joins import balanced_join, hot_keys, left_join_defaults
+from tidemark.operators.joins import left_join_defaults
 from tidemark.operators.revisions import latest_live
 from tidemark.schemas import EVENT_TYPES, MARTS, RAW_TABLES
 
@@ -113,11 +113,14 @@ def mart_daily_revenue(core: DataFrame) -> DataFrame:
     )
 
 
-def mart_customer_orders(core: DataFrame, customers: DataFrame, raw_orders: DataFrame) -> DataFrame:
-    """Orders of live customers. Very busy customers, counted in the raw orders, are spread."""
-    busiest = hot_keys(raw_orders, "customer_id")
+def mart_customer_orders(core: DataFrame, customers: DataFrame) -> DataFrame:
+    """Orders of live customers.
+
+    The join has to stay a plain one between two shuffles of its own: adaptive execution then cuts a
+    customer with very many orders into several tasks, at any size and for any number of such customers.
+    """
     profile = customers.select("customer_id", F.col("email").alias("customer_email"), "country")
-    joined = balanced_join(core, profile, "customer_id", "order_id", busiest)
+    joined = core.join(profile, "customer_id")
     return joined.select(*[name for name in MARTS["mart_customer_orders"].names if name != "published_at"])
 
 

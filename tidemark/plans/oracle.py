@@ -32,8 +32,14 @@ def _slice(digest: str, index: int = 0) -> str:
     return f"cast(cast('0x' || substr({digest}, {1 + 15 * index}, 15) as bigint) as decimal(38,0))"
 
 
+def _checksum(digest: str, where: str = "") -> str:
+    """The sums of all slices of a digest as text."""
+    sums = (f"cast(sum({_slice(digest, i)}) {where} as decimal(38,0))::varchar" for i in range(5))
+    return f"concat_ws('-', {', '.join(sums)})"
+
+
 def _digest(table: str, source: str, text: str) -> str:
-    sums = ", ".join(f"cast(sum({_slice('h', i)}) as decimal(38,0)) as digest_{i}" for i in range(4))
+    sums = ", ".join(f"cast(sum({_slice('h', i)}) as decimal(38,0)) as digest_{i}" for i in range(5))
     return (
         f"select '{table}' as table_name, count(*) as row_count, {sums} "
         f"from (select sha256({text}) as h from {source})"
@@ -57,6 +63,22 @@ KEYS = {
     "product_catalog": "product_id",
 }
 
+
+def _revised(number: str, rows: str) -> str:
+    """The rows with an earlier revision for every sixth key, as the raw views have it."""
+    older = "(_earlier and _n % 12 <> 0)"
+    return f"""
+        select * exclude (_n, _earlier) replace (
+          case when {older} then updated_at - interval 1 day else updated_at end as updated_at,
+          case when {older} then source_updated_at - interval 1 day else source_updated_at end as source_updated_at,
+          case when {older} then ingested_at - interval 1 day else ingested_at end as ingested_at,
+          case when _earlier then {older} and _n % 18 = 0 else is_deleted end as is_deleted,
+          case when {older} then '{_B}0' else batch_id end as batch_id,
+          case when _earlier then sha256(record_hash || '|earlier') else record_hash end as record_hash)
+        from ({rows.replace("        from ", f", {number} as _n from ", 1)})
+        join (values (true), (false)) as revisions(_earlier) on not _earlier or _n % 6 = 0"""
+
+
 CTES: dict[str, str] = {
     "raw_customers": f"""
         select 'cus_' || c_custkey::varchar as customer_id,
@@ -73,7 +95,7 @@ CTES: dict[str, str] = {
         from customer join nation on c_nationkey = n_nationkey
         join (values (1), (2), (3)) as revisions(r)
           on r = 1 or (r = 2 and c_custkey % 5 = 0) or (r = 3 and c_custkey % 11 = 0)""",
-    "raw_orders": f"""
+    "raw_orders": _revised("o_orderkey", f"""
         select 'ord_' || o_orderkey::varchar as order_id, 'cus_' || o_custkey::varchar as customer_id,
                case o_orderstatus when 'F' then 'completed' when 'O' then 'pending' else 'cancelled' end as status,
                case o_orderkey % 3 when 0 then 'USD' when 1 then 'EUR' else 'VND' end as currency,
@@ -81,8 +103,8 @@ CTES: dict[str, str] = {
                false as is_deleted, '{_B}1' as batch_id, cast(o_orderdate as timestamp) as source_updated_at,
                cast(o_orderdate as timestamp) + interval 1 hour as ingested_at,
                sha256(o_orderkey::varchar) as record_hash
-        from orders""",
-    "raw_order_items": f"""
+        from orders"""),
+    "raw_order_items": _revised("l_orderkey", f"""
         select 'item_' || l_orderkey::varchar || '-' || l_linenumber::varchar as order_item_id,
                'ord_' || l_orderkey::varchar as order_id, 'prod_' || l_partkey::varchar as product_id,
                cast(l_quantity as integer) as quantity, cast(l_extendedprice as decimal(18,2)) as unit_price,
@@ -91,8 +113,8 @@ CTES: dict[str, str] = {
                cast(l_shipdate as timestamp) + interval 1 hour as ingested_at,
                sha256(l_partkey::varchar || '|' || l_suppkey::varchar || '|'
                  || cast(l_extendedprice as decimal(18,2))::varchar) as record_hash
-        from lineitem""",
-    "raw_payments": f"""
+        from lineitem"""),
+    "raw_payments": _revised("o_orderkey", f"""
         select 'pay_' || o_orderkey::varchar as payment_id, 'ord_' || o_orderkey::varchar as order_id,
                'txn_' || o_orderkey::varchar as provider_transaction_id,
                case when o_orderkey % 10 = 0 then 'failed' else 'succeeded' end as status,
@@ -102,8 +124,8 @@ CTES: dict[str, str] = {
                cast(o_orderdate as timestamp) as source_updated_at,
                cast(o_orderdate as timestamp) + interval 1 hour as ingested_at,
                sha256(o_orderkey::varchar) as record_hash
-        from orders where o_orderkey % 17 <> 0""",
-    "raw_refunds": f"""
+        from orders where o_orderkey % 17 <> 0"""),
+    "raw_refunds": _revised("o_orderkey", f"""
         select 'ref_' || o_orderkey::varchar as refund_id, 'pay_' || o_orderkey::varchar as payment_id,
                case when o_orderkey % 12 = 0 then 'failed' else 'succeeded' end as status,
                cast(100 + o_orderkey % 400 as decimal(18,2)) as amount,
@@ -112,20 +134,20 @@ CTES: dict[str, str] = {
                cast(o_orderdate as timestamp) as source_updated_at,
                cast(o_orderdate as timestamp) + interval 1 hour as ingested_at,
                sha256(o_orderkey::varchar) as record_hash
-        from orders where o_orderkey % 4 = 0 and o_orderkey % 10 <> 0 and o_orderkey % 17 <> 0""",
-    "raw_events": f"""
+        from orders where o_orderkey % 4 = 0 and o_orderkey % 10 <> 0 and o_orderkey % 17 <> 0"""),
+    "raw_events": _revised("event_id", f"""
         select 'evt_' || event_id::varchar as event_id,
                case event_type when 'view' then 'product_viewed' when 'click' then 'add_to_cart'
-                 else 'checkout_completed' end as event_type,
+                 when 'purchase' then 'checkout_completed' else event_type end as event_type,
                'sess_' || user_id::varchar || '_' || cast(ts as date)::varchar as session_id,
                case when user_id % 6 <> 0 then 'cus_' || user_id::varchar end as customer_id,
                case when event_id % 5 <> 0 then 'prod_' || (event_id % 200)::varchar end as product_id,
-               case when event_id % 10 <> 0 then 'cmp_' || (user_id % 8)::varchar end as campaign_id,
+               case when event_id % 10 <> 0 then 'cmp_' || (user_id % 30)::varchar end as campaign_id,
                cast(ts as timestamp) as occurred_at, cast(ts as timestamp) as updated_at,
                (event_id % 97 = 0) as is_deleted, '{_B}1' as batch_id, cast(ts as timestamp) as source_updated_at,
                cast(ts as timestamp) + interval 1 hour as ingested_at, sha256(event_id::varchar) as record_hash
-        from events where event_type in ('view', 'click', 'purchase')""",
-    "raw_marketing_campaigns": f"""
+        from events"""),
+    "raw_marketing_campaigns": _revised("n_nationkey", f"""
         select 'cmp_' || n_nationkey::varchar as campaign_id, n_name as name,
                case when n_nationkey % 2 = 0 then 'search' else 'social' end as channel,
                timestamp '2024-01-01' as starts_at,
@@ -133,21 +155,21 @@ CTES: dict[str, str] = {
                timestamp '2024-01-01' as updated_at, false as is_deleted, '{_B}1' as batch_id,
                timestamp '2024-01-01' as source_updated_at, timestamp '2024-01-01 01:00:00' as ingested_at,
                sha256(n_name) as record_hash
-        from nation where n_nationkey < 7""",
-    "raw_campaign_spend": f"""
-        select 'spend_' || s_suppkey::varchar as spend_id, 'cmp_' || (s_suppkey % 9)::varchar as campaign_id,
+        from nation"""),
+    "raw_campaign_spend": _revised("s_suppkey", f"""
+        select 'spend_' || s_suppkey::varchar as spend_id, 'cmp_' || (s_suppkey % 28)::varchar as campaign_id,
                date '2024-01-01' + cast(s_suppkey % 40 as integer) as spend_date,
-               cast(abs(s_acctbal) as decimal(18,2)) as amount, timestamp '2024-01-01' as updated_at,
+               cast(s_acctbal as decimal(18,2)) as amount, timestamp '2024-01-01' as updated_at,
                false as is_deleted, '{_B}1' as batch_id, timestamp '2024-01-01' as source_updated_at,
                timestamp '2024-01-01 01:00:00' as ingested_at, sha256(s_name) as record_hash
-        from supplier""",
-    "raw_product_catalog": f"""
+        from supplier"""),
+    "raw_product_catalog": _revised("p_partkey", f"""
         select 'prod_' || p_partkey::varchar as product_id, p_name as product_name, p_type as category,
                case when p_partkey % 10 <> 0 then cast(p_retailprice as decimal(18,2)) end as unit_cost,
                timestamp '1995-01-01' as updated_at, false as is_deleted, '{_B}1' as batch_id,
                timestamp '1995-01-01' as source_updated_at, timestamp '1995-01-01 01:00:00' as ingested_at,
                sha256(p_partkey::varchar) as record_hash
-        from part""",
+        from part"""),
     **{f"stg_{table}": _stg(table, key) for table, key in KEYS.items()},
     "order_gross": """
         select order_id, cast(sum(quantity * unit_price) as decimal(38,2)) as gross_amount
@@ -211,8 +233,8 @@ CTES: dict[str, str] = {
         select customer_id from raw_customers group by customer_id
         having not arg_max(is_deleted, row(source_updated_at, batch_id, record_hash))""",
     "net_of_source": """
-        select cast((select coalesce(sum(amount), 0) from raw_payments where status = 'succeeded' and not is_deleted)
-             - (select coalesce(sum(amount), 0) from raw_refunds where status = 'succeeded' and not is_deleted)
+        select cast((select coalesce(sum(amount), 0) from stg_payments where status = 'succeeded' and not is_deleted)
+             - (select coalesce(sum(amount), 0) from stg_refunds where status = 'succeeded' and not is_deleted)
              as decimal(38,2)) as source_net""",
     "batch_manifest": """
         select 'batch_' || o_orderkey::varchar as batch_id, 'src_' || (o_custkey % 5)::varchar as source,
@@ -340,9 +362,8 @@ QUERIES: dict[str, str] = {
     "generic_fields": "select customer_id, email, country, updated_at from raw_customers",
     "business_columns": "select spend_id, campaign_id, spend_date, amount, updated_at, is_deleted from raw_campaign_spend",
     "source_fingerprint": "select sha256(concat_ws(':', count(*)::varchar, "
-        + ", ".join(f"cast(sum({_slice('h', i)}) as decimal(38,0))::varchar" for i in range(4))
-        + ")) as fingerprint from (select sha256(concat_ws(',', product_id, product_name, category, unit_cost, "
-        "updated_at)) as h from catalog_text)",
+        + ", ".join(f"cast(sum({_slice('h', i)}) as decimal(38,0))::varchar" for i in range(5))
+        + f")) as fingerprint from (select sha256({_row_text(product_id='text', product_name='text', category='text', unit_cost='text', updated_at='text')}) as h from catalog_text)",
     "snapshots_by_name": """
         select snapshot_table, created_at from publication_manifest where snapshot_table like 'mart_daily_revenue__%'""",
     "load_guard": """
@@ -397,8 +418,8 @@ QUERIES: dict[str, str] = {
         from (select cast(coalesce(sum(net_revenue), 0) as decimal(38,2)) as gold_net, count(*) as gold_rows
               from mart_daily_revenue), net_of_source""",
     "table_checksum": f"""
-        select count(*) as row_count, cast(sum({_slice("sha256(t)")}) as decimal(38,0)) as checksum
-        from revenue_row_text""",
+        select count(*) as row_count, {_checksum("h")} as checksum
+        from (select sha256(t) as h from revenue_row_text)""",
     "batch_identity": _digest("refunds", "raw_refunds", _row_text(
         refund_id="text", payment_id="text", status="text", amount="number", succeeded_at="ts", updated_at="ts",
         is_deleted="bool", batch_id="text", source_updated_at="ts", ingested_at="ts", record_hash="text",
@@ -410,10 +431,10 @@ QUERIES: dict[str, str] = {
         select table_name, left_rows, left_checksum, right_rows, right_checksum,
                (left_rows = right_rows and left_checksum = right_checksum) as matches from (
           select 'mart_daily_revenue' as table_name,
-                 count(*) as left_rows, cast(sum(h) as decimal(38,0)) as left_checksum,
+                 count(*) as left_rows, {_checksum("h")} as left_checksum,
                  count(*) filter (where paid_orders > 1) as right_rows,
-                 cast(sum(h) filter (where paid_orders > 1) as decimal(38,0)) as right_checksum
-          from (select paid_orders, {_slice("sha256(t)")} as h from revenue_row_text))""",
+                 {_checksum("h", "filter (where paid_orders > 1)")} as right_checksum
+          from (select paid_orders, sha256(t) as h from revenue_row_text))""",
     "table_counts": """
         select 'customers' as table_name, count(*) as row_count from stg_customers
         union all select 'events', count(*) from stg_events
@@ -488,21 +509,21 @@ QUERIES: dict[str, str] = {
             ('product_viewed', 'add_to_cart', 'checkout_completed')) as violations from raw_events
         union all select 'items_quantity', count(*) filter (where quantity <= 0) from raw_order_items
         union all select 'items_price', count(*) filter (where unit_price < 0) from raw_order_items
-        union all select 'payments_amount', count(*) filter (where amount < 0) from raw_payments
+        union all select 'payments_amount', count(*) filter (where amount < 0) from stg_payments
         union all select 'refunds_amount', count(*) filter (where amount < 0) from raw_refunds
         union all select 'spend_amount', count(*) filter (where amount < 0) from raw_campaign_spend
         union all select 'orders_customer', count(*) from raw_orders
           where customer_id not in (select customer_id from raw_customers)
         union all select 'items_order', count(*) from raw_order_items
           where order_id not in (select order_id from raw_orders)
-        union all select 'payments_order', count(*) from raw_payments
+        union all select 'payments_order', count(*) from stg_payments
           where order_id not in (select order_id from raw_orders)
         union all select 'refunds_payment', count(*) from raw_refunds
-          where payment_id not in (select payment_id from raw_payments)
+          where payment_id not in (select payment_id from stg_payments)
         union all select 'spend_campaign', count(*) from raw_campaign_spend
           where campaign_id not in (select campaign_id from raw_marketing_campaigns)
         union all select 'payments_transaction_unique', count(*) from (
-          select provider_transaction_id from raw_payments group by 1 having count(*) > 1)""",
+          select provider_transaction_id from stg_payments group by 1 having count(*) > 1)""",
     "mart_tests": """
         select 'unique mart_daily_revenue.grain_key' as test, count(*) as violations from (
           select grain_key from mart_daily_revenue where grain_key is not null group by 1 having count(*) > 1)

@@ -157,8 +157,8 @@ class Gold:
             self._note(publication, "COMMITTED", checksum=candidate_sum)
         except Exception as error:
             if known and known["status"] != "COMMITTED":
-                self._enter(fields, "FAILED", error=str(error)[:4000])
-                self._note(publication, "FAILED", error=str(error)[:4000])
+                self._enter(fields, "FAILED", error=str(error))
+                self._note(publication, "FAILED", error=str(error))
             raise
         self.drop_old_snapshots(dataset)
         return publication
@@ -232,7 +232,7 @@ def build_candidates(
             together(
                 spark,
                 lambda: write(commerce.mart_daily_revenue(core), "mart_daily_revenue"),
-                lambda: write(commerce.mart_customer_orders(core, customers, raw["orders"]), "mart_customer_orders"),
+                lambda: write(commerce.mart_customer_orders(core, customers), "mart_customer_orders"),
             )
         )
 

@@ -50,16 +50,27 @@ class Tables:
         return self._open[name]
 
 
-def _raw(df: DataFrame, table: str, columns: Mapping[str, Column]) -> DataFrame:
-    """Add the columns most tables share, then put all in contract order."""
+def _raw(df: DataFrame, table: str, columns: Mapping[str, Column], number: Column | None = None) -> DataFrame:
+    """Add the columns most tables share, then put all in contract order.
+
+    With ``number``, every sixth key has an earlier revision: one a day older in a batch of its own,
+    which is a tombstone for every third of them (deleted, then revived), or one that ties on time
+    and batch, so that the record hash decides.
+    """
     at = columns["source_updated_at"]
-    shared = {
-        "updated_at": at,
-        "is_deleted": F.lit(False),
-        "batch_id": F.lit(BATCH + "1"),
-        "ingested_at": at + F.expr("INTERVAL 1 HOUR"),
-    }
+    shared = {"is_deleted": F.lit(False), "batch_id": F.lit(BATCH + "1")}
     every = {**shared, **columns}
+    if number is not None:
+        df = df.withColumn("_earlier", F.explode(F.when(number % 6 == 0, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))))
+        older = F.col("_earlier") & (number % 12 != 0)
+        at = F.when(older, at - F.expr("INTERVAL 1 DAY")).otherwise(at)
+        every |= {
+            "source_updated_at": at,
+            "is_deleted": F.when(F.col("_earlier"), older & (number % 18 == 0)).otherwise(every["is_deleted"]),
+            "batch_id": F.when(older, BATCH + "0").otherwise(every["batch_id"]),
+            "record_hash": F.when(F.col("_earlier"), _sha(every["record_hash"], F.lit("earlier"))).otherwise(every["record_hash"]),
+        }
+    every = {"updated_at": at, "ingested_at": at + F.expr("INTERVAL 1 HOUR"), **every}
     contract = [*RAW_TABLES[table].business.fields, *AUDIT.fields]
     return df.select(*[every[field.name].cast(field.dataType).alias(field.name) for field in contract])
 
@@ -94,7 +105,7 @@ def raw_orders(t: Tables) -> DataFrame:
         "ordered_at": F.col("o_orderdate").cast("timestamp"),
         "source_updated_at": F.col("o_orderdate").cast("timestamp"),
         "record_hash": _sha("o_orderkey"),
-    })
+    }, F.col("o_orderkey"))
 
 
 def raw_order_items(t: Tables) -> DataFrame:
@@ -107,7 +118,7 @@ def raw_order_items(t: Tables) -> DataFrame:
         "unit_price": price,
         "source_updated_at": F.col("l_shipdate").cast("timestamp"),
         "record_hash": _sha("l_partkey", "l_suppkey", price),
-    })
+    }, F.col("l_orderkey"))
 
 
 def raw_payments(t: Tables) -> DataFrame:
@@ -122,7 +133,7 @@ def raw_payments(t: Tables) -> DataFrame:
         "succeeded_at": F.when(~failed, at),
         "source_updated_at": at,
         "record_hash": _sha("o_orderkey"),
-    })
+    }, F.col("o_orderkey"))
 
 
 def raw_refunds(t: Tables) -> DataFrame:
@@ -137,31 +148,29 @@ def raw_refunds(t: Tables) -> DataFrame:
         "succeeded_at": F.when(~failed, at),
         "source_updated_at": at,
         "record_hash": _sha("o_orderkey"),
-    })
+    }, F.col("o_orderkey"))
 
 
 def raw_events(t: Tables) -> DataFrame:
     kind = F.col("event_type")
-    rows = t["events"].where(kind.isin("view", "click", "purchase"))
-    return _raw(rows, "events", {
+    named = F.when(kind == "view", "product_viewed").when(kind == "click", "add_to_cart").when(kind == "purchase", "checkout_completed")
+    return _raw(t["events"], "events", {
         "event_id": _text("evt_", "event_id"),
-        "event_type": F.when(kind == "view", "product_viewed").when(kind == "click", "add_to_cart").otherwise(
-            "checkout_completed"
-        ),
+        "event_type": F.coalesce(named, kind),
         "session_id": _text("sess_", "user_id", F.lit("_"), F.to_date("ts")),
         "customer_id": F.when(_mod("user_id", 6) != 0, _text("cus_", "user_id")),
         "product_id": F.when(_mod("event_id", 5) != 0, _text("prod_", _mod("event_id", 200))),
-        "campaign_id": F.when(_mod("event_id", 10) != 0, _text("cmp_", _mod("user_id", 8))),
+        "campaign_id": F.when(_mod("event_id", 10) != 0, _text("cmp_", _mod("user_id", 30))),
         "occurred_at": F.col("ts").cast("timestamp"),
         "is_deleted": _mod("event_id", 97) == 0,
         "source_updated_at": F.col("ts").cast("timestamp"),
         "record_hash": _sha("event_id"),
-    })
+    }, F.col("event_id"))
 
 
 def raw_marketing_campaigns(t: Tables) -> DataFrame:
     even = _mod("n_nationkey", 2) == 0
-    return _raw(t["nation"].where(F.col("n_nationkey") < 7), "marketing_campaigns", {
+    return _raw(t["nation"], "marketing_campaigns", {
         "campaign_id": _text("cmp_", "n_nationkey"),
         "name": F.col("n_name"),
         "channel": F.when(even, "search").otherwise("social"),
@@ -169,18 +178,18 @@ def raw_marketing_campaigns(t: Tables) -> DataFrame:
         "ends_at": F.when(even, _ts("2024-02-01")),
         "source_updated_at": _ts("2024-01-01"),
         "record_hash": _sha("n_name"),
-    })
+    }, F.col("n_nationkey"))
 
 
 def raw_campaign_spend(t: Tables) -> DataFrame:
     return _raw(t["supplier"], "campaign_spend", {
         "spend_id": _text("spend_", "s_suppkey"),
-        "campaign_id": _text("cmp_", _mod("s_suppkey", 9)),
+        "campaign_id": _text("cmp_", _mod("s_suppkey", 28)),
         "spend_date": F.date_add(F.lit("2024-01-01").cast("date"), _mod("s_suppkey", 40).cast("int")),
-        "amount": F.abs("s_acctbal").cast(MONEY),
+        "amount": F.col("s_acctbal").cast(MONEY),
         "source_updated_at": _ts("2024-01-01"),
         "record_hash": _sha("s_name"),
-    })
+    }, F.col("s_suppkey"))
 
 
 def raw_product_catalog(t: Tables) -> DataFrame:
@@ -191,7 +200,7 @@ def raw_product_catalog(t: Tables) -> DataFrame:
         "unit_cost": F.when(_mod("p_partkey", 10) != 0, F.col("p_retailprice").cast(MONEY)),
         "source_updated_at": _ts("1995-01-01"),
         "record_hash": _sha("p_partkey"),
-    })
+    }, F.col("p_partkey"))
 
 
 _RAW_VIEWS = {

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import hash_slice, parse_money, parse_timestamp, truthy
+from tidemark.functions.columns import parse_money, parse_timestamp, truthy
+from tidemark.operators.checksums import digest_sums, with_row_digest
 
 # Fixed column names of the file; is_deleted may be left out.
 REQUIRED = ("product_id", "product_name", "category", "unit_cost", "updated_at")
@@ -62,18 +63,18 @@ def read_catalog(spark: SparkSession, path: str, multi_line: bool = True) -> Dat
     return catalog_rows(read_text_columns(spark, path, multi_line))
 
 
-def fingerprint(lines: DataFrame) -> DataFrame:
-    """A fingerprint of the lines (``value``) of a text source, built from the SHA-256 of each.
+def fingerprint(rows: DataFrame) -> DataFrame:
+    """A fingerprint of the parsed records of a text source, built from the SHA-256 of each.
 
-    Computed as a sum over tasks, so no file has to fit into one task.
+    Records, not lines, are hashed, so text that moves from one record to another is a change. It is a
+    sum over tasks and does not depend on the order of records or files.
     """
-    digests = lines.select(F.sha2("value", 256).alias("digest"))
-    sums = [F.coalesce(F.sum(hash_slice("digest", i)), F.lit(0)).cast("decimal(38,0)").cast("string") for i in range(4)]
-    return digests.agg(F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), *sums), 256).alias("fingerprint"))
+    sums = with_row_digest(rows).agg(*digest_sums())
+    return sums.select(F.sha2(F.concat_ws(":", *[F.col(name).cast("string") for name in sums.columns]), 256).alias("fingerprint"))
 
 
-def text_fingerprint(spark: SparkSession, path: str) -> str:
-    return fingerprint(spark.read.text(path)).first()[0]
+def text_fingerprint(spark: SparkSession, path: str, multi_line: bool = True) -> str:
+    return fingerprint(read_text_columns(spark, path, multi_line).drop("file_path")).first()[0]
 
 
 def changed_since(fingerprint: str, checkpoint: dict[str, object] | None) -> bool:

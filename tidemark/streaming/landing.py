@@ -10,11 +10,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import utc_day
-from tidemark.operators.revisions import latest_live, newest_per_key
+from tidemark.functions.columns import row_text, utc_day
+from tidemark.operators.revisions import latest_live
 from tidemark.plans.commerce import FUNNEL_COUNTS, campaign_event_metrics
 from tidemark.sources import storage
 
@@ -29,7 +29,7 @@ def _run(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, str], No
     The name is the same whenever the batch is replayed, and differs between checkpoints, whose
     batch numbers all start at zero.
     """
-    origin = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+    origin = hashlib.sha256(checkpoint.encode()).hexdigest()
     query = (
         stream.writeStream.foreachBatch(lambda batch, number: each(batch, f"{origin}-{number:09d}"))
         .option("checkpointLocation", checkpoint)
@@ -78,18 +78,26 @@ def land_first_deliveries(stream: DataFrame, key: str, moment: str, path: str, c
     """First delivery per key, exact for any arrival order.
 
     The table itself is the state: a micro-batch is matched with the days it touches. A key keeps
-    its event time in every delivery, so all its deliveries meet in one day's folder.
+    its event time in every delivery, so all its deliveries meet in one day's folder; a key that comes
+    with another event time is a fault of the source and is kept once per day. Across micro-batches
+    the earlier one wins; within one, the smallest row in (event time, row digest), so a replay
+    settles ties alike.
     """
 
     def each(batch: DataFrame, name: str) -> None:
-        rows = newest_per_key(batch.withColumn(DAY, utc_day(moment)), key, (moment,))
+        ranked = batch.withColumns({DAY: utc_day(moment), "_digest": F.sha2(row_text(batch, batch.columns), 256)})
+        order = Window.partitionBy(key).orderBy(moment, "_digest")
+        rows = ranked.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank", "_digest")
         days = _days_of(rows)
         if days is None:
             return
         spark = batch.sparkSession
         if storage.exists(spark, path):
             earlier = _read(spark, path, rows).where(F.col(DAY).between(*days) & (F.col(BATCH) != name))
-            rows = rows.join(earlier.select(key, DAY), [key, DAY], "left_anti")
+            # The days that the batch touches, one row each: folders of other days are not read.
+            touched = rows.select(DAY).distinct()
+            earlier = earlier.select(key, DAY).join(F.broadcast(touched), DAY, "left_semi")
+            rows = rows.join(earlier, [key, DAY], "left_anti")
         _write_days(rows, name, path)
 
     _run(stream, checkpoint, each)
