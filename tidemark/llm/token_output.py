@@ -27,7 +27,7 @@ from tidemark.llm import kernels
 from tidemark.session import work_dir
 
 END = 2
-PIECE_BYTES = 24 << 20
+PIECE_BYTES = 8 << 20
 GROUP_PIECES = 1000
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
