@@ -217,6 +217,53 @@ def _compare_tables(raw):
     )
 
 
+def _landed_and_loaded(raw):
+    """All nine tables landed as one batch, checked against its manifest, loaded and read back."""
+    spark = raw.tables.spark
+    root = work_dir(spark, "lake")
+    landing.land_batch(spark, root, "shop", {name: raw[name].select(*table.columns) for name, table in RAW_TABLES.items()})
+    raw_load.load_pending(spark, root)
+    parts = [
+        raw_load.read_raw(spark, root, name).agg(
+            F.count(F.lit(1)).alias("row_count"), F.count_distinct(table.key).alias("keys"), F.count_if("is_deleted").alias("deleted"),
+            F.count_distinct("batch_id").alias("batches"),
+        ).select(F.lit(name).alias("table_name"), "*")
+        for name, table in RAW_TABLES.items()
+    ]
+    return revisions.append_union(parts)
+
+
+def _published_revenue(raw):
+    """All marts built and published; the live revenue read through the publication ledger."""
+    spark = raw.tables.spark
+    gold = Gold(spark, work_dir(spark, "gold"))
+    for name in build_candidates(gold, raw, "run", AS_OF):
+        gold.publish(name, "run")
+    return gold.read("mart_daily_revenue")
+
+
+def _rolled_back_revenue(raw):
+    """A second, smaller version published over the first and rolled back again."""
+    spark = raw.tables.spark
+    gold = Gold(spark, work_dir(spark, "gold"))
+    mart = _revenue(raw)
+    for run, rows in (("first", mart), ("second", mart.where("paid_orders > 1"))):
+        gold.write_candidate(rows, "mart_daily_revenue", run, AS_OF)
+        gold.publish("mart_daily_revenue", run)
+    second = gold.live("mart_daily_revenue")
+    gold.rollback("mart_daily_revenue", second.publication_id, "counted too few orders", dry_run=False)
+    return gold.read("mart_daily_revenue")
+
+
+def _catalog_csv_scan(tables):
+    """The sound catalog rows written as CSV files and read back under the contract."""
+    folder = f"{work_dir(tables.spark, 'catalog')}/files"
+    text = _catalog_text(tables)
+    sound = text.where(catalog_csv.problem(text).isNull())
+    sound.write.option("header", True).option("escape", '"').csv(folder)
+    return catalog_csv.read_catalog(tables.spark, folder, multi_line=False)
+
+
 def _table_counts(raw):
     return checksums.table_counts({name: _live(raw, name) for name in RELATIONAL_TABLES})
 
@@ -372,6 +419,9 @@ def queries() -> dict[str, Query]:
         "reconcile_net": lambda raw: quality.reconcile_net(_revenue(raw), _live(raw, "payments"), _live(raw, "refunds")),
         "table_checksum": lambda raw: checksums.table_checksum(_revenue(raw)),
         "compare_tables": _compare_tables,
+        "landed_and_loaded": _landed_and_loaded,
+        "published_revenue": _published_revenue,
+        "rolled_back_revenue": _rolled_back_revenue,
         "table_counts": _table_counts,
         "table_count_total": lambda raw: _table_counts(raw).agg(F.sum("row_count").alias("total_rows")),
         "gold_rows": _gold_rows,
@@ -391,6 +441,7 @@ def queries() -> dict[str, Query]:
         "mart_tests": _mart_tests,
     }
     over_tables = {
+        "catalog_csv_scan": _catalog_csv_scan,
         "csv_contract": lambda t: catalog_csv.catalog_violations(_catalog_text(t)),
         "source_fingerprint": _source_fingerprint,
         "object_manifest": _object_manifest,

@@ -332,6 +332,17 @@ QUERIES: dict[str, str] = {
     "page_items": """
         select customer_id, email, updated_at::varchar as updated_at from raw_customers
         where updated_at >= timestamp '1995-01-02' and updated_at < timestamp '1995-01-03'""",
+    "landed_and_loaded": " union all ".join(
+        f"select '{table}' as table_name, count(*) as row_count, count(distinct {key}) as keys, "
+        f"count(*) filter (where is_deleted) as deleted, cast(1 as bigint) as batches from raw_{table}" for table, key in KEYS.items()),
+    "published_revenue": "select *, timestamp '2024-01-31' as published_at from mart_daily_revenue",
+    "rolled_back_revenue": "select *, timestamp '2024-01-31' as published_at from mart_daily_revenue",
+    "catalog_csv_scan": """
+        select product_id, product_name, category, cast(nullif(unit_cost, '') as decimal(18,2)) as unit_cost,
+               timestamp '2026-01-01' as updated_at, false as is_deleted
+        from catalog_text
+        where (unit_cost = '' or try_cast(unit_cost as decimal(18,2)) is not null)
+          and try_cast(updated_at as timestamptz) is not null""",
     "csv_contract": """
         select product_id, unit_cost, updated_at,
                case when unit_cost <> '' and try_cast(unit_cost as decimal(18,2)) is null

@@ -53,14 +53,17 @@ def extract(
     tables: Mapping[str, DataFrame],
     watermark: datetime | None = None,
     window: tuple[datetime, datetime] | None = None,
+    cursors: Mapping[str, str] | None = None,
 ) -> dict[str, DataFrame]:
     """Every table's rows since the watermark, or inside the window when one is given.
 
-    The bounds are plain comparisons with literals on the cursor column, so they reach the scan.
+    The bounds are plain comparisons with literals on the cursor column, so they reach the scan. A
+    table's cursor is the one named in ``cursors``, else its contract's, else ``updated_at``.
     """
+    named = {name: contract.cursor for name, contract in RAW_TABLES.items()} | dict(cursors or {})
     out = {}
     for name, df in tables.items():
-        cursor = RAW_TABLES[name].cursor
+        cursor = named.get(name, "updated_at")
         out[name] = within(df, cursor, window) if window else since(df, cursor, lower_bound(watermark, name))
     return out
 
