@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 
+from tidemark.schemas import RELATIONAL_TABLES
+
 _B = "00000000-0000-5000-8000-00000000000"
 
 
@@ -46,6 +48,13 @@ def _digest(table: str, source: str, text: str) -> str:
     )
 
 
+def _live_keys(second: str) -> str:
+    """Live keys of the six relational tables; ``second`` settles revisions of equal source time."""
+    return " union all ".join(
+        f"select '{table}' as table_name, {KEYS[table]} as key from raw_{table} group by {KEYS[table]} "
+        f"having not arg_max(is_deleted, row(source_updated_at, {second}, record_hash))" for table in RELATIONAL_TABLES)
+
+
 _REVENUE_TEXT = _row_text(
     grain_key="text", order_date="date", currency="text", paid_orders="number", gross_order_value="number",
     captured_revenue="number", refunded_revenue="number", net_revenue="number",
@@ -354,8 +363,8 @@ QUERIES: dict[str, str] = {
         select batch_id, count(*) as row_count, count(distinct customer_id) as customers
         from raw_customers group by batch_id""",
     "raw_audit_append": """
-        select refund_id, payment_id, status, amount, updated_at, is_deleted, 'b-1' as batch_id,
-               updated_at as source_updated_at, strftime(updated_at, '%Y%m') as load_month,
+        select refund_id, payment_id, status, amount, succeeded_at, updated_at, is_deleted, 'b-1' as batch_id,
+               updated_at as source_updated_at, timestamp '2024-01-31' as ingested_at, strftime(updated_at, '%Y%m') as load_month,
                sha256('{"amount":"' || amount::varchar || '","is_deleted":"' || is_deleted::varchar
                  || '","payment_id":"' || payment_id || '","refund_id":"' || refund_id || '","status":"' || status
                  || '","succeeded_at":' || coalesce('"' || succeeded_at::varchar || '"', 'null')
@@ -364,7 +373,8 @@ QUERIES: dict[str, str] = {
     "contract_projection": """
         select product_id, product_name, category, unit_cost, updated_at, is_deleted from raw_product_catalog""",
     "generic_landing": """
-        select source, table_name, source_updated_at, record_json, sha256(record_json) as record_hash from (
+        select source, table_name, 'b-1' as batch_id, source_updated_at, timestamp '2024-01-31' as ingested_at,
+               record_json, sha256(record_json) as record_hash from (
           select 'crm' as source, 'customers' as table_name, updated_at as source_updated_at,
                  '{"country":' || coalesce('"' || country || '"', 'null') || ',"customer_id":"' || customer_id
                    || '","email":"' || email || '","updated_at":"' || strftime(updated_at, '%Y-%m-%dT%H:%M:%S')
@@ -404,10 +414,8 @@ QUERIES: dict[str, str] = {
     "left_join_defaults": """
         select k.event_date, k.campaign_id, coalesce(c.name, '') as name, coalesce(c.channel, '') as channel, c.ends_at
         from campaign_event_metrics k left join stg_marketing_campaigns c on k.campaign_id = c.campaign_id""",
-    "live_keys": "select * from live_customers",
-    "live_keys_by_load": """
-        select customer_id from raw_customers group by customer_id
-        having not arg_max(is_deleted, row(source_updated_at, ingested_at, record_hash))""",
+    "live_keys": _live_keys("batch_id"),
+    "live_keys_by_load": _live_keys("ingested_at"),
     "hard_delete_keys": """
         select customer_id from live_customers where customer_id not in (select customer_id from source_customers)""",
     "missing_keys": """
@@ -445,7 +453,10 @@ QUERIES: dict[str, str] = {
                  count(*) as left_rows, {_checksum("h")} as left_checksum,
                  count(*) filter (where paid_orders > 1) as right_rows,
                  {_checksum("h", "filter (where paid_orders > 1)")} as right_checksum
-          from (select paid_orders, sha256(t) as h from revenue_row_text))""",
+          from (select paid_orders, sha256(t) as h from revenue_row_text)
+          union all
+          select 'mart_daily_revenue_copy', count(*), {_checksum("h")}, count(*), {_checksum("h")}
+          from (select sha256(t) as h from revenue_row_text))""",
     "table_counts": """
         select 'customers' as table_name, count(*) as row_count from stg_customers
         union all select 'events', count(*) from stg_events

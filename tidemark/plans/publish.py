@@ -81,10 +81,10 @@ class Gold:
         """Write a mart as a candidate and return its path.
 
         A repeat of a run replaces its candidate, but a version that was published once stays as
-        it is: readers may be on it.
+        it is while its folder is kept: readers may be on it.
         """
         path = self.candidate_path(dataset, run_id)
-        if not self._was_published(dataset, path):
+        if not (self._was_published(dataset, path) and storage.exists(self.spark, path)):
             stamp = moment(published_at) if published_at else build_time()
             commerce.stamped(mart, dataset, stamp).write.mode("overwrite").parquet(path)
         return path
