@@ -166,6 +166,11 @@ def test_three_snapshots_are_kept(spark, gold, mart):
     there = [scale for scale in range(1, 7) if storage.exists(spark, gold.candidate_path(MART, f"run-{scale}"))]
     assert there == [3, 4, 5, 6]
     assert net(gold) == 6 * 160
+    # A run whose snapshot is gone can be written again; one that is kept stays as it is.
+    for run in ("run-1", "run-3"):
+        gold.write_candidate(mart(9), MART, run)
+    nets = [spark.read.parquet(gold.candidate_path(MART, run)).agg(F.sum("net_revenue")).first()[0] for run in ("run-1", "run-3")]
+    assert nets == [9 * 160, 3 * 160]
 
 
 def test_whole_rebuild_publishes_all_marts_or_none(spark, gold):
@@ -175,6 +180,7 @@ def test_whole_rebuild_publishes_all_marts_or_none(spark, gold):
         "mart_daily_revenue": 2, "mart_conversion_funnel": 2, "mart_customer_orders": 3
     }
     assert rebuild(gold, seed.raw(spark), "run-1") == done
+    assert not storage.exists(spark, f"{gold.root}/core/run-1")
     bad = [("ref_big", "pay_002", "succeeded", seed.money(500), seed.at(3), seed.at(3), False)]
     with pytest.raises(PublishError, match="nonnegative financials"):
         rebuild(gold, seed.raw(spark, refunds=bad), "run-2")

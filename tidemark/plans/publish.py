@@ -215,7 +215,8 @@ def build_candidates(
     """Write all three marts as candidates and return them as written.
 
     Order finance feeds two marts, so it is written once and read back, which also keeps a lost
-    executor from costing the whole chain again. Jobs that do not depend on each other run at once.
+    executor from costing the whole chain again; it is removed once both are written. Jobs that do not
+    depend on each other run at once.
     """
     spark = gold.spark
     core_path = f"{gold.root}/core/{run_id}"
@@ -228,13 +229,13 @@ def build_candidates(
         commerce.core_order_financial(raw).write.mode("overwrite").parquet(core_path)
         core = spark.read.parquet(core_path)
         customers = commerce.staging(raw, "customers")
-        return tuple(
-            together(
-                spark,
-                lambda: write(commerce.mart_daily_revenue(core), "mart_daily_revenue"),
-                lambda: write(commerce.mart_customer_orders(core, customers), "mart_customer_orders"),
-            )
+        marts = together(
+            spark,
+            lambda: write(commerce.mart_daily_revenue(core), "mart_daily_revenue"),
+            lambda: write(commerce.mart_customer_orders(core, customers), "mart_customer_orders"),
         )
+        storage.remove(spark, core_path)
+        return tuple(marts)
 
     (revenue, customer_orders), funnel = together(
         spark, orders, lambda: write(commerce.mart_conversion_funnel(raw), "mart_conversion_funnel")
