@@ -104,3 +104,28 @@ def test_lookup_finds_all_keys():
     assert (lookup.find(keys) == np.arange(len(keys))).all()
     assert (lookup.find(keys[40:] + np.uint64(1)) == -1).all()
     assert (lm.Lookup(keys[:0]).find(keys) == -1).all()
+
+
+def test_learner_gets_every_training_document(spark, tmp_path):
+    docs = spark.read.parquet(FOLDER).select("doc_id", "text").where(~lm.held_out(F.col("doc_id")))
+    counts = docs.select("text").mapInArrow(lm._counted, "token long, count long").groupBy("token").agg(F.sum("count").alias("count"))
+    vocabulary, _ = lm._vocabulary(counts)
+    lm.train(docs, vocabulary, str(tmp_path))
+    assert spark.read.parquet(*map(str, tmp_path.glob("weights-*"))).agg(F.sum("seen")).first()[0] == vocabulary.total
+
+
+def test_rarer_words_have_classes_of_their_own():
+    counts = np.sort(np.random.default_rng(3).zipf(1.3, 20_000).clip(1, 10_000))[::-1]
+    v = lm.Vocabulary(np.arange(len(counts)), counts, int(counts.sum()) + 30, len(counts) + 20)
+    rarer = v.numbers[recurrent.WORDS:-1][v.counts[recurrent.WORDS:] > 1]
+    assert len(rarer) and (rarer > recurrent.REST).all() and len(set(rarer)) > 1
+    assert (v.numbers[:-1][v.counts == 1] == recurrent.REST).all() and v.numbers[-1] == recurrent.REST
+    weights = recurrent.start(v.counts[:v.own], v.rest_total, v.bands)
+    states = np.random.default_rng(0).standard_normal((2, recurrent.STATE)).astype(np.float32)
+    one, other = (recurrent.log_probability(weights, np.repeat(s[None], len(v.numbers), axis=0), v.numbers) for s in states)
+    banded = v.numbers > recurrent.REST
+    assert len(np.unique((one - other)[banded].round(9))) == len(set(rarer))  # a state moves each band by itself
+    rest = v.numbers == recurrent.REST
+    inside = np.where(rest, 0, one + np.log(10) * v.within)
+    share = np.exp(one[rest][0])
+    assert np.exp(inside[~rest]).sum() + share == pytest.approx(1, abs=1e-3)

@@ -1,14 +1,15 @@
 """Language-model scores of whole documents: unigram base and a gated recurrent model.
 
 Tokens are the case-folded words of a text and one end. Counts are taken over every training
-document. The model's vocabulary is the 4,096 most frequent tokens; every other token is the rest class's
-probability times its smoothed share of the rest's counts, so all words, known or not, share one
-unit of probability.
+document. The model predicts the 4,096 most frequent tokens one by one. Rarer tokens seen at least twice, as far
+as they travel with the tasks, fall into 64 bands of frequency with equal counts; the model predicts the band, and
+the token is its smoothed share of the band's counts. The rest class has the tokens seen once, those joined, and
+unknown ones alike. So all words, known or not, share one unit of probability.
 
 Training is data parallel: each task runs truncated backpropagation over its share of the training
-documents, from common weights, and Spark averages the resulting weights by their tokens. Each of two
-rounds uses another sixteenth of the training documents, chosen by hash (``ROUNDS``, ``ROUND_SHARE``), so
-the work and what is learned from grow with the corpus.
+documents, from common weights, and Spark averages the resulting weights by their tokens. Each of ``ROUNDS``
+rounds uses another part of the training documents, dealt by hash, so that after the last one every training
+document was learned from once.
 
 Counts of up to ``FREQUENT`` tokens (a fixed bound) travel with the tasks. The others are joined: each
 document sends its distinct rare tokens once.
@@ -29,7 +30,6 @@ from tidemark.session import work_dir
 
 FREQUENT = 1 << 18
 ROUNDS = 2
-ROUND_SHARE = 16
 FOLDS, HELD_OUT = 7, 2
 PIECE_BYTES = 24 << 20
 END_HASH = np.uint64(0x5851F42D4C957F2D)
@@ -83,8 +83,18 @@ class Vocabulary:
         self.tokens, self.counts = tokens[order].view(np.uint64), counts[order]
         self.total, self.distinct = total, distinct
         self.own = min(len(self.tokens), recurrent.WORDS)
-        self.rest_total = total - int(self.counts[:self.own].sum())
-        self.rest_distinct = distinct - self.own
+        numbered = max(self.own, int(np.count_nonzero(self.counts > 1)))
+        banded = self.counts[self.own:numbered]
+        band = (np.cumsum(banded) - banded) * recurrent.BANDS // max(int(banded.sum()), 1)
+        self.bands = np.bincount(band, banded, recurrent.BANDS)
+        self.rest_total = total - int(self.counts[:numbered].sum())
+        self.rest_distinct = distinct - numbered
+        # By place, and last for a token that has none.
+        self.numbers = np.concatenate([np.arange(self.own), recurrent.REST + 1 + band, np.full(len(self.tokens) - numbered + 1, recurrent.REST)])
+        # What a token has within its band; of a token of the rest, without the rest's size.
+        self.within = np.append(np.log10(self.counts + 1.0), 0.0)
+        self.within[:self.own] = 0
+        self.within[self.own:numbered] -= np.log10(self.bands[band] + np.bincount(band, minlength=recurrent.BANDS)[band])
 
     def lookup(self) -> Lookup:
         return Lookup(self.tokens)
@@ -105,8 +115,8 @@ def _vocabulary(stored: DataFrame) -> tuple[Vocabulary, int]:
     return Vocabulary(tokens, counts, int(whole.n or 0), int(whole.v)), least
 
 
-def _numbered(places: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
-    numbers = np.where((places >= 0) & (places < recurrent.WORDS), places, recurrent.REST)
+def _numbered(vocabulary: Vocabulary, places: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    numbers = vocabulary.numbers[places]
     return [numbers[low:high] for low, high in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
@@ -117,7 +127,7 @@ def _taught(vocabulary: Vocabulary, weights: recurrent.Weights):
         learner, lookup = recurrent.Learner(weights), vocabulary.lookup()
         for piece in kernels.pieces(batches, "text", PIECE_BYTES):
             tokens, bounds = tokens_of(piece.column("text"))
-            learner.learn(_numbered(lookup.find(tokens), bounds))
+            learner.learn(_numbered(vocabulary, lookup.find(tokens), bounds))
         if learner.seen:
             flat = learner.w.flat()
             yield pa.RecordBatch.from_arrays(
@@ -128,9 +138,9 @@ def _taught(vocabulary: Vocabulary, weights: recurrent.Weights):
 
 def train(docs: DataFrame, vocabulary: Vocabulary, folder: str) -> recurrent.Weights:
     """Weights averaged over all tasks; ``docs`` holds the training documents (doc_id, text)."""
-    weights = recurrent.start(vocabulary.counts[:vocabulary.own], vocabulary.rest_total)
+    weights = recurrent.start(vocabulary.counts[:vocabulary.own], vocabulary.rest_total, vocabulary.bands)
     for turn in range(ROUNDS):
-        part = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(ROUND_SHARE)) == turn).select("text")
+        part = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(ROUNDS)) == turn).select("text")
         path = f"{folder}/weights-{turn}"
         part.mapInArrow(_taught(vocabulary, weights), "seen long, weights array<float>").write.parquet(path)
         each = docs.sparkSession.read.parquet(path).select("seen", F.posexplode("weights").alias("place", "value"))
@@ -153,9 +163,9 @@ def _scored(vocabulary: Vocabulary, weights: recurrent.Weights):
             places = lookup.find(tokens)
             known = places >= 0
             value = np.where(known, gains[places] if len(gains) else 0.0, 0.0)
-            outside = ~known | (places >= recurrent.WORDS)
-            sums = [np.add.reduceat(x, bounds[:-1]) for x in (known.astype(np.int64), value, np.where(outside, value, 0.0), outside.astype(np.int64))]
-            model = recurrent.score(weights, _numbered(places, bounds))
+            rest = vocabulary.numbers[places] == recurrent.REST
+            sums = [np.add.reduceat(x, bounds[:-1]) for x in (known.astype(np.int64), value, vocabulary.within[places], rest.astype(np.int64))]
+            model = recurrent.score(weights, _numbered(vocabulary, places, bounds))
             rare, rare_bounds, often = [], [0], []
             for low, high in zip(bounds[:-1], bounds[1:], strict=True):
                 token, count = np.unique(tokens[low:high][~known[low:high]], return_counts=True)

@@ -1,8 +1,9 @@
 """A gated recurrent unit with a class-factored output, in numpy.
 
-Words are numbered 0 .. WORDS-1 by falling frequency; class k holds words 64k .. 64k+63, and one more class
-stands for every other word. The state before a token predicts the token's class, and its place within
-the class; then the state reads the token. Starting output biases are the log frequencies, so the
+Words are numbered 0 .. WORDS-1 by falling frequency; class k holds words 64k .. 64k+63. Rarer words are numbered
+by bands of frequency, REST+1 .. REST+BANDS, each a class of its own, and REST is the class of every other word. The
+state before a token predicts the token's class, and its place within the classes of 64; then the state reads
+the token. Starting output biases are the log frequencies, so the
 untrained model is the unigram model.
 """
 
@@ -16,6 +17,8 @@ CLASS_WORDS = 64
 CLASSES = 64
 WORDS = CLASSES * CLASS_WORDS
 REST = WORDS  # the number of every word outside the vocabulary
+BANDS = 64
+NUMBERS = WORDS + 1 + BANDS
 STATE = 24
 INPUT = 16
 ABSENT = -30.0
@@ -25,7 +28,7 @@ ABSENT = -30.0
 class Weights:
     """Parameters, or their gradients, as float32 arrays."""
 
-    words: np.ndarray  # input vector of each word, the rest's last
+    words: np.ndarray  # input vector of each number: words, the rest, bands
     read: np.ndarray  # input to update gate, reset gate and candidate
     read_bias: np.ndarray
     keep: np.ndarray  # state to the same three
@@ -51,8 +54,8 @@ class Weights:
         return Weights(*[np.zeros_like(x) for x in self.arrays()])
 
 
-def start(counts: np.ndarray, rest: int) -> Weights:
-    """Weights of the unigram model: ``counts`` of the vocabulary by falling frequency, ``rest`` of all other tokens."""
+def start(counts: np.ndarray, rest: int, bands: np.ndarray | None = None) -> Weights:
+    """Weights of the unigram model: ``counts`` of the words by falling frequency, of the ``bands``, and ``rest`` of all other tokens."""
     draw = np.random.Generator(np.random.PCG64(11))
 
     def small(*shape):
@@ -61,12 +64,12 @@ def start(counts: np.ndarray, rest: int) -> Weights:
     padded = np.zeros(WORDS)
     padded[:len(counts)] = counts
     by_class = padded.reshape(CLASSES, CLASS_WORDS)
-    sums = np.append(by_class.sum(axis=1), rest + 1)
+    sums = np.concatenate([by_class.sum(axis=1), [rest + 1], np.zeros(BANDS) if bands is None else bands])
     class_bias = np.where(sums > 0, np.log(np.maximum(sums, 1) / sums.sum()), ABSENT)
     share = by_class / np.maximum(sums[:CLASSES, None], 1)
     word_bias = np.where(by_class > 0, np.log(np.maximum(share, 1e-12)), ABSENT)
-    return Weights(small(WORDS + 1, INPUT), small(INPUT, 3 * STATE), np.zeros(3 * STATE, np.float32), small(STATE, 3 * STATE),
-                   small(STATE, CLASSES + 1) * 0.1, class_bias.astype(np.float32), small(WORDS, STATE) * 0.1,
+    return Weights(small(NUMBERS, INPUT), small(INPUT, 3 * STATE), np.zeros(3 * STATE, np.float32), small(STATE, 3 * STATE),
+                   small(STATE, len(sums)) * 0.1, class_bias.astype(np.float32), small(WORDS, STATE) * 0.1,
                    word_bias.reshape(-1).astype(np.float32))
 
 
@@ -77,16 +80,20 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
+def _classes(tokens: np.ndarray) -> np.ndarray:
+    return np.where(tokens < WORDS, tokens // CLASS_WORDS, tokens - WORDS + CLASSES)
+
+
 def _class_slices(classes: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """(class, rows) of each class but the rest's."""
+    """(class, rows) of each class of single words."""
     order = np.argsort(classes, kind="stable")
     edges = np.searchsorted(classes[order], np.arange(CLASSES + 1))
     return [(k, order[edges[k]:edges[k + 1]]) for k in range(CLASSES) if edges[k] < edges[k + 1]]
 
 
 def log_probability(w: Weights, states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """Natural log probability of each token by the state before it; of the class alone for the rest."""
-    classes = tokens // CLASS_WORDS
+    """Natural log probability of each token by the state before it; of the class alone for bands and the rest."""
+    classes = _classes(tokens)
     logits = states @ w.to_class
     logits += w.class_bias
     logits -= logits.max(axis=1, keepdims=True)
@@ -149,7 +156,7 @@ def _window_gradient(w: Weights, state: np.ndarray, tokens: np.ndarray, real: np
         state = fresh[step] + gates[step, :, :STATE] * (state - fresh[step])
     g = w.zeros()
     hidden, target = states[real], tokens[real]
-    classes, scale = target // CLASS_WORDS, np.float32(1 / max(len(target), 1))
+    classes, scale = _classes(target), np.float32(1 / max(len(target), 1))
     logits = hidden @ w.to_class + w.class_bias
     share = np.exp(logits - logits.max(axis=1, keepdims=True))
     share /= share.sum(axis=1, keepdims=True)
