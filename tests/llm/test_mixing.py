@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import brute
@@ -85,3 +86,17 @@ def test_longer_documents_are_likelier_but_none_is_certain(spark):
 def test_no_python_in_the_plan(spark):
     plan = mixing.mixture(spark, spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not [x for x in ("Python", "Pandas", "Arrow", "CartesianProduct", "NestedLoop") if x in plan]
+
+
+def test_a_document_larger_than_the_remainder_stops_nothing(spark):
+    draw = random.Random(1)
+    sources = [f"a{k:02}" for k in range(18)]
+    rows = [(s, draw.randint(50, 150)) for s in sources for _ in range(700)] + [(s, 28_000) for s in sources]
+    rows = [(i, "w " * n, s) for i, (s, n) in enumerate(rows)]
+    rows += [(i, "w " * 40, "a00") for i in (-1, -1, -1, -2, -2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mixture(spark, docs).collect()
+    taken, want = check(docs, got)
+    off = {s: taken[s] / want[s] - 1 for k, s in enumerate(sources) if k % 3}  # of the others, all small documents do not suffice
+    assert all(abs(x) <= 0.05 for x in off.values()), off
+    assert len({r.taken for r in got if r.doc_id == -1}) == 1

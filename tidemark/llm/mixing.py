@@ -3,17 +3,21 @@
 A source's target is a number of words. All its documents get the whole copies that the target holds
 for certain; the remainder is a sample without replacement in which a document's inclusion probability
 grows with the logarithm of its length. Documents are ranked by random odds divided by inclusion odds,
-u / (1 - u) over p / (1 - p), and taken in this order while the remainder holds. Up to three documents
-whose sizes come closest to what is then left are added, each if it brings the source nearer to its target.
+u / (1 - u) over p / (1 - p), and taken in this order while the remainder holds. Then the order is gone through
+again among the documents no larger than what is left, round by round until none fits. Last, the one
+document whose size comes closest to what is left is added if it brings the source nearer to its target.
 
 All of it is DataFrame operations. Ranks are cut by two levels of 1,024 bins a source, which are
 summed before the shuffle, and only the documents of the one bin that the cut falls into are ordered
 exactly. So a source with a third of all documents is ordered nowhere as a whole, and the decision for
-a document is a comparison with its source's cut: texts are never shuffled.
+a document is a comparison with the bounds and cuts of its source's rounds. Rows are joined with
+documents only to find how often repeated ones stand.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +26,7 @@ from tidemark.session import work_dir
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 SEED = 20240601
-FILLS = 3
-PLACE = "struct<rank:bigint,doc_id:bigint,size:bigint>"
+ROUND = "struct<most:double,cut:struct<rank:bigint,doc_id:bigint,size:bigint>>"
 _BITS = 10
 _SCALE = 1 << 40
 
@@ -74,10 +77,44 @@ def _joined(rows: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.alias("r").join(sources.alias("s"), F.expr("r.source <=> s.source")).select("r.*", *names)
 
 
-def mixing_plan(spark: SparkSession, sizes: DataFrame) -> DataFrame:
-    """One row per source that decides every document's copies; ``sizes`` has doc_id, source and size.
+def _joined_left(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """As ``_joined``, rows without a source's columns too."""
+    names = [F.col(f"s.{name}") for name in sources.columns if name != "source"]
+    return rows.alias("r").join(sources.alias("s"), F.expr("r.source <=> s.source"), "left").select("r.*", *names)
+
+
+def _place() -> Column:
+    return F.struct("rank", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "size")
+
+
+def _in_rounds(words: Column) -> Column:
+    """Whether one of the source's rounds takes a document of ``words`` at ``place``."""
+    return F.exists("rounds", lambda r: (r["most"].isNull() | (words <= r["most"])) & (r["cut"].isNull() | (F.col("place") < r["cut"])))
+
+
+def _cut(waiting: DataFrame, state: DataFrame, written: Callable[[DataFrame, str], DataFrame], turn: int) -> DataFrame:
+    """(source, cut): the place of the first document, in order, that does not fit; no row where all fit."""
+    # Two levels of bins, then the exact order within the bin that holds the cut.
+    cuts, inside = state.select("source", "left", F.lit(0).cast("decimal(38,0)").alias("taken")), waiting
+    for level in (1, 2):
+        bin_of = F.pmod(F.shiftright("rank", 40 - _BITS * level), F.lit(1 << _BITS))
+        binned = inside.withColumn("bin", bin_of)
+        order = Window.partitionBy("source").orderBy("bin")
+        bins = binned.groupBy("source", "bin").agg(F.sum("words").cast("decimal(38,0)").alias("words"))
+        bins = _joined(bins.withColumn("upto", F.sum("words").over(order)), cuts.select("source", "taken", "left"))
+        crossing = bins.where(F.col("taken") + F.col("upto") > F.col("left")).groupBy("source").agg(
+            F.min_by(F.struct("bin", (F.col("taken") + F.col("upto") - F.col("words")).cast("decimal(38,0)").alias("taken"), "left"), "bin").alias("c"))
+        cuts = written(crossing.select("source", "c.bin", "c.taken", "c.left"), f"cuts-{turn}-{level}")
+        inside = _joined(binned, cuts.select("source", F.col("bin").alias("cut_bin"))).where("bin = cut_bin").drop("bin", "cut_bin")
+    order = Window.partitionBy("source").orderBy("place")
+    last = _joined(inside.withColumn("upto", F.sum("words").over(order)), cuts.select("source", "taken", "left"))
+    return last.where(F.col("taken") + F.col("upto") > F.col("left")).groupBy("source").agg(F.min("place").alias("cut"))
+
+
+def mixing_plan(spark: SparkSession, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One row per source that decides every document's copies, and (doc_id, source, size, words) of repeated rows.
 
-    Rows that share doc_id, source and size are taken or left together.
+    ``sizes`` has doc_id, source and size. Rows that share all three are taken or left together.
     """
     folder = work_dir(spark, "mixing")
 
@@ -98,48 +135,40 @@ def mixing_plan(spark: SparkSession, sizes: DataFrame) -> DataFrame:
     ranked = written(_joined(units, sources.select("source", "rest", "mean_preference")).withColumn("rank", _rank())
                      .where("rank is not null").select("doc_id", "source", "size", "words", "rank"), "ranked")
 
-    # Two levels of bins, then the exact order within the bin that holds the cut.
-    cuts, inside = sources.select("source", "gap", F.lit(0).cast("decimal(38,0)").alias("taken")), ranked
-    for level in (1, 2):
-        bin_of = F.pmod(F.shiftright("rank", 40 - _BITS * level), F.lit(1 << _BITS))
-        binned = inside.withColumn("bin", bin_of)
-        order = Window.partitionBy("source").orderBy("bin")
-        bins = binned.groupBy("source", "bin").agg(F.sum("words").cast("decimal(38,0)").alias("words"))
-        bins = _joined(bins.withColumn("upto", F.sum("words").over(order)), cuts.select("source", "taken", "gap"))
-        crossing = bins.where(F.col("taken") + F.col("upto") > F.col("gap")).groupBy("source").agg(
-            F.min_by(F.struct("bin", (F.col("taken") + F.col("upto") - F.col("words")).cast("decimal(38,0)").alias("taken"), "gap"), "bin").alias("c"))
-        cuts = written(crossing.select("source", "c.bin", "c.taken", "c.gap"), f"cuts-{level}")
-        inside = _joined(binned, cuts.select("source", F.col("bin").alias("cut_bin"))).where("bin = cut_bin").drop("bin", "cut_bin")
-    order = Window.partitionBy("source").orderBy("rank", F.asc_nulls_first("doc_id"), "size")
-    last = _joined(inside.withColumn("upto", F.sum("words").over(order)), cuts.select("source", "taken", "gap"))
-    place = F.struct("rank", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "size")
-    last = last.withColumn("place", place).where(F.col("taken") + F.col("upto") > F.col("gap"))
-    first_out = written(last.groupBy("source").agg(F.min("place").alias("cut")), "cut")
-    # What is left is filled by documents outside, each the one whose size comes closest.
-    ranked = ranked.withColumn("place", place)
-    named = sources.alias("r").join(first_out.alias("s"), F.expr("r.source <=> s.source"), "left").select("r.*", "s.cut")
-    tried = _joined(ranked, named.select("source", "cut"))
-    got = tried.groupBy("source").agg(F.sum(F.when(F.col("cut").isNull() | (F.col("place") < F.col("cut")), F.col("words")).otherwise(0)).alias("got"))
-    left = named.alias("r").join(got.alias("s"), F.expr("r.source <=> s.source"), "left").select(
-        "r.*", (F.col("gap") - F.coalesce("got", F.lit(0))).alias("left"), F.array().cast(f"array<{PLACE}>").alias("fills"))
-    left = written(left, "left-0")
+    # A round takes, of the documents not taken and no larger than what is left, those before its cut.
+    state = sources.withColumns({"left": F.col("gap"), "rounds": F.array().cast(f"array<{ROUND}>")})
+    waiting, turn = ranked.withColumn("place", _place()), 0
+    while True:
+        waiting = _joined(waiting, state.select("source", "left")).where("words <= left and words > 0" if turn else "words > 0").drop("left")
+        waiting = written(waiting, f"waiting-{turn}")
+        if turn and waiting.isEmpty():
+            break
+        cut = written(_cut(waiting, state, written, turn), f"cut-{turn}")
+        tried = _joined_left(waiting, cut)
+        ahead = F.col("cut").isNull() | (F.col("place") < F.col("cut"))
+        got = tried.where(ahead).groupBy("source").agg(F.sum("words").alias("got"))
+        most = F.when(F.lit(turn > 0), F.col("left"))
+        state = _joined_left(_joined_left(state, cut), got).withColumns({
+            "rounds": F.array_append("rounds", F.struct(most.alias("most"), F.col("cut").alias("cut"))),
+            "left": F.col("left") - F.coalesce("got", F.lit(0))}).drop("cut", "got")
+        state = written(state, f"left-{turn}")
+        waiting = tried.where(~ahead).drop("cut")
+        turn += 1
+    # The rest may be exceeded by one document that brings the source nearer to its target.
     miss = F.abs(F.col("words") - F.col("left"))
-    for turn in range(1, FILLS + 1):
-        outside = _joined(ranked, left.select("source", "left", "cut", "fills")).where(
-            (F.col("place") >= F.col("cut")) & (F.col("words") > 0) & (miss < F.col("left")) & ~F.array_contains("fills", F.col("place")))
-        fill = outside.groupBy("source").agg(F.min(F.struct(miss.alias("miss"), "place", "words")).alias("fill"))
-        left = left.alias("r").join(fill.alias("s"), F.expr("r.source <=> s.source"), "left").select("r.*", "s.fill").withColumns({
-            "fills": F.when(F.col("fill").isNull(), F.col("fills")).otherwise(F.array_append("fills", F.col("fill.place"))),
-            "left": F.col("left") - F.coalesce("fill.words", F.lit(0))}).drop("fill")
-        left = written(left, f"left-{turn}")
-    return left
-
-
-def with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    outside = _joined(ranked.withColumn("place", _place()), state.select("source", "left", "rounds")).where(
+        ~_in_rounds(F.col("words")) & (F.col("words") > 0) & (miss < F.col("left")))
+    fill = outside.groupBy("source").agg(F.min_by("place", F.struct(miss.alias("miss"), "place")).alias("fill"))
+    written(units.where("words > size").select("doc_id", "source", "size", "words"), "repeated")
+    return written(_joined_left(state, fill), "plan"), spark.read.parquet(f"{folder}/repeated")
+
+
+def with_copies(rows: DataFrame, plan: DataFrame, repeated: DataFrame) -> DataFrame:
     """``rows`` (with doc_id, source and size) with source_size, target and taken_copies."""
-    both = _joined(rows, plan).withColumn("preference", _preference()).withColumn("rank", _rank())
-    place = F.struct("rank", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "size")
-    sampled = F.col("rank").isNotNull() & (F.col("cut").isNull() | (place < F.col("cut")) | F.array_contains("fills", place))
+    same = F.expr(" and ".join(f"r.{name} <=> s.{name}" for name in ("doc_id", "source", "size")))
+    both = rows.alias("r").join(repeated.alias("s"), same, "left").select("r.*", F.coalesce("s.words", "r.size").alias("words"))
+    both = _joined(both, plan).withColumn("preference", _preference()).withColumn("rank", _rank()).withColumn("place", _place())
+    sampled = F.col("rank").isNotNull() & (_in_rounds(F.col("words")) | F.coalesce(F.col("place") == F.col("fill"), F.lit(False)))
     both = both.withColumn("taken_copies", F.col("copies") + F.when(sampled, 1).otherwise(0))
     return both.select(*rows.columns, "source_size", "target", "taken_copies")
 
@@ -158,7 +187,7 @@ def mixture(spark: SparkSession, docs: DataFrame) -> DataFrame:
     folder = work_dir(spark, "mixture")
     _sized(docs, ["doc_id"]).drop("doc").write.parquet(f"{folder}/sizes")
     sizes = spark.read.parquet(f"{folder}/sizes")
-    out = with_copies(sizes, mixing_plan(spark, sizes))
+    out = with_copies(sizes, *mixing_plan(spark, sizes))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("taken_copies")).alias("taken"))
 
 
@@ -167,5 +196,5 @@ def mixed(spark: SparkSession, docs: DataFrame) -> DataFrame:
     folder = work_dir(spark, "mixed")
     _sized(docs, ["doc_id"]).drop("doc").write.parquet(f"{folder}/sizes")
     plan = mixing_plan(spark, spark.read.parquet(f"{folder}/sizes"))
-    taken = with_copies(_sized(docs, docs.columns), plan).where("taken_copies > 0")
+    taken = with_copies(_sized(docs, docs.columns), *plan).where("taken_copies > 0")
     return taken.select("doc", F.explode(F.sequence(F.lit(1), "taken_copies"))).select("doc.*")
