@@ -89,3 +89,15 @@ def test_awkward_rows_columns_and_plan(spark, awkward, nothing):
     good = qr.keep_good(spark, docs)
     assert good.columns == docs.columns and good.count() == sum(r.kept for r in rows)
     assert qr.quality_verdicts(spark, nothing).count() == 0
+
+
+def test_clean_labelled_documents_stay_and_symbol_junk_goes(spark):
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    verdicts = qr.quality_verdicts(spark, spark.read.parquet(f"{folder}/documents.parquet")).where("not base_failed")
+    symbols = F.col("n_symbols") / F.col("n_words")
+    cluster = F.when(symbols.between(0.2, 2), "junk").when(symbols < 0.05, "clean")
+    rows = verdicts.join(labels, "doc_id", "left").groupBy(cluster.alias("cluster"), "quality", "kept").count().collect()
+    kept = {(r.cluster, r.quality, r.kept): r["count"] for r in rows}
+    assert kept.get(("clean", 1, False), 0) <= 0.005 * kept["clean", 1, True]
+    assert not [k for k in kept if k[0] == "junk" and k[2]] and [k for k in kept if k[0] == "junk"]

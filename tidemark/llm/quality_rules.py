@@ -26,11 +26,12 @@ SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = r"#*$%&|<>"
 SIZE = 5
 #: Smallest standard deviation of each statistic: log words, log word length, symbols a word, log repeated lines, repeated share.
-FLOORS = (0.5, 0.1, 0.1, 0.7, 0.1)
+#: Of symbols and repeated lines it is their resolution: one symbol in the fewest words that the base rules pass, one line.
+FLOORS = (0.5, 0.1, 1 / 50, log(2), 0.1)
 SUBSET = 0.75
 STEPS = 5
 PRIOR = 50
-TAIL = 1e-4
+TAIL = 1e-3
 UNIT = 1000
 GROUP = ("lang", "source")
 
