@@ -10,6 +10,8 @@ from tidemark.llm import chat_format
 from tidemark.llm.decontamination import contaminated
 from tidemark.llm.language_model import language_scores
 from tidemark.llm.line_dedup import repeated_lines
+from tidemark.llm.merkle import manifest
+from tidemark.llm.merkle_sql import merkle_sql
 from tidemark.llm.mixing import mixture
 from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.quality_gam import quality_scores
@@ -67,16 +69,21 @@ def op10_quality_gam(spark, folder):
     return quality_scores(spark, _table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op11_merkle_manifest(spark, folder):
+    return manifest(spark, _table(spark, folder, "documents")).drop("tampered", "copied_nodes")
+
+
 QUERIES = {
     query.__name__: query
     for query in (op1_decontamination, op2_chat_format, op3_warc, op4_mixing, op5_near_dedup, op6_line_dedup, op7_token_output,
-                  op8_language_model, op9_quality_rules, op10_quality_gam)
+                  op8_language_model, op9_quality_rules, op10_quality_gam, op11_merkle_manifest)
 }
 
 _ESCAPED = r"""replace(replace(replace(replace(replace(replace(replace(replace({0}, '\', '\\'), '<|', '<\|'), '<s>', '<\s>'),
   '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]'), '<<SYS>>', '<\<SYS>>'), '<</SYS>>', '<\</SYS>>')"""
 
 SQL: dict[str, str] = {
+    "op11_merkle_manifest": merkle_sql(),
     "op1_decontamination": r"""
 with texts as (
   select 'd' as kind, doc_id as id, text from documents
