@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import chat_format
+from tidemark.llm.conversation_repair import repair_reports
 from tidemark.llm.decontamination import contaminated
 from tidemark.llm.language_model import language_scores
 from tidemark.llm.line_dedup import repeated_lines
@@ -73,10 +74,14 @@ def op11_merkle_manifest(spark, folder):
     return manifest(spark, _table(spark, folder, "documents")).drop("tampered", "copied_nodes")
 
 
+def op12_conversation_repair(spark, folder):
+    return repair_reports(spark, _table(spark, folder, "conversations"))
+
+
 QUERIES = {
     query.__name__: query
     for query in (op1_decontamination, op2_chat_format, op3_warc, op4_mixing, op5_near_dedup, op6_line_dedup, op7_token_output,
-                  op8_language_model, op9_quality_rules, op10_quality_gam, op11_merkle_manifest)
+                  op8_language_model, op9_quality_rules, op10_quality_gam, op11_merkle_manifest, op12_conversation_repair)
 }
 
 _ESCAPED = r"""replace(replace(replace(replace(replace(replace(replace(replace({0}, '\', '\\'), '<|', '<\|'), '<s>', '<\s>'),
