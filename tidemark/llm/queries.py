@@ -17,6 +17,7 @@ from tidemark.llm.mixing import mixture
 from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.quality_gam import quality_scores
 from tidemark.llm.quality_rules import quality_verdicts
+from tidemark.llm.secret_scan import secrets
 from tidemark.llm.token_output import stored_tokens
 from tidemark.llm.warc import archived_pages
 
@@ -78,10 +79,14 @@ def op12_conversation_repair(spark, folder):
     return repair_reports(spark, _table(spark, folder, "conversations"))
 
 
+def op13_secret_scan(spark, folder):
+    return secrets(spark, _table(spark, folder, "documents"))
+
+
 QUERIES = {
     query.__name__: query
     for query in (op1_decontamination, op2_chat_format, op3_warc, op4_mixing, op5_near_dedup, op6_line_dedup, op7_token_output,
-                  op8_language_model, op9_quality_rules, op10_quality_gam, op11_merkle_manifest, op12_conversation_repair)
+                  op8_language_model, op9_quality_rules, op10_quality_gam, op11_merkle_manifest, op12_conversation_repair, op13_secret_scan)
 }
 
 _ESCAPED = r"""replace(replace(replace(replace(replace(replace(replace(replace({0}, '\', '\\'), '<|', '<\|'), '<s>', '<\s>'),
