@@ -8,6 +8,7 @@ is batched forward-backward with Adagrad; decoding is Viterbi over many document
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Sequence
 from zlib import crc32
 
@@ -31,14 +32,13 @@ def _feature(name: str) -> int:
 
 
 def _length(n: int) -> int:
-    return n if n <= 4 else 5 + int(np.searchsorted((7, 11, 15, 19, 31, 63), n))
+    return n if n <= 4 else 5 + bisect_left((7, 11, 15, 19, 31, 63), n)
 
 
 def _shape(token: str) -> str:
+    """The shape of a token that isn't all letters."""
     if not (token[0].isalnum() or token[0] == "_"):
         return token
-    if token.isalpha():
-        return "lower" if token.islower() else "upper" if token.isupper() else "title" if token[1:].islower() else "mixed"
     if token.isdigit():
         return "digits"
     if _HEX.fullmatch(token):
@@ -46,91 +46,100 @@ def _shape(token: str) -> str:
     return "code" if token.isalnum() else "name" if not any(c.isdigit() for c in token) else "named code"
 
 
-class TokenType:
-    """What the features need to know of a token, whoever stands beside it."""
+_PLACES = ("one before", "two before", "one after", "last word")
+_SPREAD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint64)
+_EDGE = np.array([_feature(place) for place in _PLACES])
 
-    __slots__ = ("own", "around", "is_word", "has_digit", "is_sign", "odd")
 
-    def __init__(self, token: str):
-        n, shape = len(token), _shape(token)
-        size = _length(n)
-        digits = sum(c.isdigit() for c in token)
-        pieces = min(len(_PIECES.findall(token)), 8) if not token.isalpha() else 1
-        variety = min(len(set(token)) // 3, 6)
-        self.own = tuple(map(_feature, ("bias", f"n {size}", f"s {shape}", f"sn {shape} {size}", f"p {pieces} {size}",
-                                        f"v {variety} {size}", f"d {4 * digits // n} {size}")))
-        word = token.lower() if n <= 12 and token.isalpha() else shape if n == 1 else f"# {shape} {size}"
-        self.around = tuple(_feature(f"{place} {word}") for place in ("-1", "-2", "+1", "word"))
-        self.is_word, self.has_digit = token.isalpha(), digits > 0
-        self.is_sign = shape == token and n == 1
-        self.odd = n if digits and n > 4 else 0
+def _around(words: np.ndarray) -> np.ndarray:
+    """For word hashes the feature each has as a neighbour in every place."""
+    mixed = words[:, None].astype(np.uint64) * _SPREAD
+    return ((mixed >> np.uint64(20)) % np.uint64(TABLE)).astype(np.int64)
 
 
-_EDGE = tuple(_feature(f"{place} edge") for place in ("-1", "-2", "+1", "word"))
+class Types(dict):
+    """Token types by number, kept from text to text up to a bound.
 
-
-class Types:
-    """Token types by number, kept from text to text up to a bound."""
+    Tokens of one shape, size and variety form a class; a class has features and flags, and a type adds
+    the hash of the word that its neighbours see.
+    """
 
     def __init__(self):
-        self.numbers: dict[str, int] = {}
-        self.known: list[TokenType] = []
+        super().__init__()
+        self.class_of: list[int] = []
+        self.words: list[int] = []
+        self.classes: dict[tuple, int] = {}
+        self.own: list[tuple[int, ...]] = []
+        self.flags: list[tuple[bool, bool, bool, int]] = []
+
+    def __missing__(self, token: str) -> int:
+        n, word = len(token), token.isalpha()
+        size, variety = _length(n), min(len(set(token)) // 3, 6)
+        if word:
+            shape = "lower" if token.islower() else "upper" if token.isupper() else "title" if token[1:].islower() else "mixed"
+            pieces = digits = 0
+        else:
+            shape, pieces = _shape(token), min(len(_PIECES.findall(token)), 8)
+            digits = sum(c.isdigit() for c in token)
+        key = shape, size, variety, pieces, digits and 1 + 4 * digits // n
+        kind = self.classes.get(key)
+        if kind is None:
+            kind = self.classes[key] = len(self.own)
+            self.own.append(tuple(map(_feature, ("bias", f"n {size}", f"s {shape}", f"sn {shape} {size}", f"p {pieces} {size}",
+                                                 f"v {variety} {size}", f"d {key[-1]} {size}"))))
+            self.flags.append((word, digits > 0, shape == token and n == 1, size if digits and n > 4 else 0))
+        seen = token.lower() if word and n <= 12 else shape if n == 1 else f"# {shape} {size}"
+        self.class_of.append(kind)
+        self.words.append(crc32(seen.encode()))
+        at = self[token] = len(self.words) - 1
+        return at
 
     def number(self, tokens: list[str]) -> np.ndarray:
-        numbers, known = self.numbers, self.known
-        if len(known) > CACHE:
-            numbers.clear()
-            known.clear()
-        out = np.empty(len(tokens), np.int64)
-        for i, token in enumerate(tokens):
-            at = numbers.get(token)
-            if at is None:
-                at = numbers[token] = len(known)
-                known.append(TokenType(token))
-            out[i] = at
-        return out
+        if len(self.words) > CACHE:
+            self.clear()
+            self.class_of.clear()
+            self.words.clear()
+        return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
 
-    def array(self, name: str) -> np.ndarray:
-        return np.array([getattr(kind, name) for kind in self.known])
+    def flag(self, numbers: np.ndarray, which: int) -> np.ndarray:
+        """A flag of every token: word, digits, sign or oddness."""
+        kinds = np.array(self.class_of, np.int64)[numbers]
+        return np.array([flags[which] for flags in self.flags] or [0])[kinds]
 
 
-def places(types: np.ndarray, starts: np.ndarray, is_word: np.ndarray) -> np.ndarray:
+WORD, DIGITS, SIGN, ODD = range(4)
+
+
+def places(starts: np.ndarray, is_word: np.ndarray) -> np.ndarray:
     """For each token the tokens one before, two before, one after, and the last word before; -1 at an edge."""
-    n = len(types)
-    here = np.arange(n)
+    here = np.arange(len(is_word))
     first = np.repeat(starts[:-1], np.diff(starts))
     last = np.repeat(starts[1:], np.diff(starts)) - 1
-    before = np.maximum.accumulate(np.where(is_word[types], here, -1)) if n else here
-    word = np.concatenate([[-1], before[:-1]])
+    word = np.concatenate([[-1], np.maximum.accumulate(np.where(is_word, here, -1))[:-1]]) if len(here) else here
     out = np.stack([here - 1, here - 2, here + 1, word])
     out[(out < first) | (out > last)] = -1
     return out
 
 
-def file_features(types: np.ndarray, starts: np.ndarray, has_digit: np.ndarray, is_sign: np.ndarray, odd: np.ndarray) -> np.ndarray:
-    """Of every document: its size, its shares of signs and numbers, and its longest odd token."""
-    sizes = np.diff(starts)
-    out = np.empty((len(sizes), FILE), np.int64)
-
-    def total(flags: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0], np.cumsum(flags[types])])
-        return sums[starts[1:]] - sums[starts[:-1]]
+def file_features(types: Types, numbers: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Of every document: its size, its shares of signs and numbers, and its odd tokens."""
+    def total(flags: np.ndarray) -> list[int]:
+        sums = np.concatenate([[0], np.cumsum(flags)])
+        return (sums[starts[1:]] - sums[starts[:-1]]).tolist()
 
-    signs, numbers, some = total(is_sign), total(has_digit), total(odd > 0)
-    for i, n in enumerate(sizes.tolist()):
-        n = max(n, 1)
-        out[i] = [_feature(f"file {int(n).bit_length() // 2}"), _feature(f"signs {10 * signs[i] // n}"),
-                  _feature(f"numbers {20 * numbers[i] // n}"), _feature(f"odd {min(int(some[i]), 4)}")]
+    out = np.empty((len(starts) - 1, FILE), np.int64)
+    counts = [total(types.flag(numbers, which) > 0) for which in (SIGN, DIGITS, ODD)]
+    for i, (n, signs, digits, odd) in enumerate(zip(np.maximum(np.diff(starts), 1).tolist(), *counts)):
+        out[i] = [_feature(f"file {n.bit_length() // 2}"), _feature(f"signs {10 * signs // n}"), _feature(f"numbers {20 * digits // n}"), _feature(f"odd {min(odd, 4)}")]
     return out
 
 
 def features(types: Types, numbers: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The feature numbers of every token, one row each."""
-    own, around = types.array("own"), np.array([*[kind.around for kind in types.known], _EDGE])
-    beside = places(numbers, starts, types.array("is_word"))
-    near = np.stack([around[np.where(at < 0, -1, numbers[at]), slot] for slot, at in enumerate(beside)], 1)
-    whole = file_features(numbers, starts, types.array("has_digit"), types.array("is_sign"), types.array("odd"))
-    return np.concatenate([own[numbers], near, np.repeat(whole, np.diff(starts), 0)], 1)
+    around = np.concatenate([_around(np.array(types.words, np.int64)), _EDGE[None]])
+    near = [around[np.where(at < 0, -1, numbers[at]), slot] for slot, at in enumerate(places(starts, types.flag(numbers, WORD)))]
+    own = np.array(types.own)[np.array(types.class_of, np.int64)[numbers]]
+    return np.concatenate([own, np.stack(near, 1), np.repeat(file_features(types, numbers, starts), np.diff(starts), 0)], 1)
 
 
 class Model:
@@ -141,15 +150,17 @@ class Model:
         self.slack = 2 * max(0.0, float(self.steps.max() - self.steps[OUTSIDE, OUTSIDE]))
 
     def emissions(self, types: Types, numbers: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Scores of every token and tag: sums that a token's type knows, gathered from its neighbours."""
+        """Scores of every token and tag, summed by class of token, by neighbour and by file."""
         w = self.weights
-        own = w[types.array("own")].sum(1)
-        around = w[np.array([*[kind.around for kind in types.known], _EDGE])]
-        out = own[numbers]
-        for slot, at in enumerate(places(numbers, starts, types.array("is_word"))):
-            out += around[np.where(at < 0, -1, numbers[at]), slot]
-        whole = file_features(numbers, starts, types.array("has_digit"), types.array("is_sign"), types.array("odd"))
-        return out + np.repeat(w[whole].sum(1), np.diff(starts), 0)
+        if not len(numbers):
+            return np.zeros((0, 3), np.float32)
+        out = w[np.array(types.own)].sum(1)[np.array(types.class_of, np.int64)[numbers]]
+        known = _around(np.array(types.words, np.int64))
+        for slot, at in enumerate(places(starts, types.flag(numbers, WORD))):
+            near = w[known[:, slot]][numbers[at]]
+            near[at < 0] = w[_EDGE[slot]]
+            out += near
+        return out + np.repeat(w[file_features(types, numbers, starts)].sum(1), np.diff(starts), 0)
 
     def tags(self, scores: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The best tags of every chain.

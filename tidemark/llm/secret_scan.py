@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import crf
 from tidemark.llm.secret_rules import ACCESS, HEX, KINDS, Span, base_spans, shown
+from tidemark.session import work_dir
 
 SAMPLE = 2000
 HALF_WINDOW = 24
@@ -64,7 +65,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             tags = secret_tags(text, base_spans(text))
             known = crf.features(types, numbers, starts)
-            odd = np.where(tags == crf.OUTSIDE, types.array("odd")[numbers], 0)
+            odd = np.where(tags == crf.OUTSIDE, types.flag(numbers, crf.ODD), 0)
             middles = {int.from_bytes(hashlib.sha256(text.encode()).digest()[:8], "big") % len(numbers)}
             middles |= {int(tags.argmax())} if tags.any() else set()
             middles |= {int(odd.argmax())} if odd.any() else set()
@@ -97,14 +98,15 @@ def learned(docs: DataFrame, sample: int = SAMPLE) -> crf.Model | None:
         """A bound of the hash below which about 1.2 times the sample is found."""
         return min(2**64 - 1, 2**64 * (6 * sample // 5 + 50) // max(n, 1)) - 2**63
 
-    parts = [
-        whole.where((F.col("hit") == kind) & (F.col("order") <= F.lit(under(n)))).orderBy("order", "doc_id").limit(sample).select("text")
-        for kind, n in counts.items()
-    ]
-    chosen = parts[0]
-    for part in parts[1:]:
-        chosen = chosen.unionByName(part)
-    rows = [(r.features, r.tags) for r in chosen.mapInArrow(_windows, _WINDOW).collect()]
+    bounds = {kind: under(n) for kind, n in counts.items()}
+    # The hash is compared first, so patterns are tried again on few documents only.
+    near = whole.where(F.col("order") <= F.lit(max(bounds.values())))
+    near = near.where(F.when(F.col("hit"), F.lit(bounds[True])).otherwise(F.lit(bounds.get(False, bounds[True]))) >= F.col("order"))
+    path = f"{work_dir(docs.sparkSession, 'secret-sample')}/documents"
+    near.write.parquet(path)
+    near = docs.sparkSession.read.parquet(path)
+    parts = [near.where(F.col("hit") == kind).orderBy("order", "doc_id").limit(sample).select("text") for kind in (True, False)]
+    rows = [(r.features, r.tags) for r in parts[0].unionByName(parts[1]).mapInArrow(_windows, _WINDOW).collect()]
     chains = [(np.array(x, np.int64).reshape(-1, crf.FEATURES), np.array(y, np.int64)) for x, y in sorted(rows)]
     return crf.fit(chains)
 
