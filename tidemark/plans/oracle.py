@@ -344,6 +344,9 @@ QUERIES: dict[str, str] = {
     "landed_and_loaded": " union all ".join(
         f"select '{table}' as table_name, count(*) as row_count, count(distinct {key}) as keys, "
         f"count(*) filter (where is_deleted) as deleted, cast(1 as bigint) as batches from raw_{table}" for table, key in KEYS.items()),
+    "stg_orders_incremental": "select * from stg_orders",
+    "stg_customers_incremental": "select * from stg_customers",
+    "mart_daily_revenue_delta": "select * from mart_daily_revenue",
     "published_revenue": "select *, timestamp '2024-01-31' as published_at from mart_daily_revenue",
     "rolled_back_revenue": "select *, timestamp '2024-01-31' as published_at from mart_daily_revenue",
     "catalog_csv_scan": """

@@ -145,6 +145,7 @@ LEDGERS: dict[str, T.StructType] = {
         "previous_path:string? previous_checksum:string? production_checksum:string? status:string error:string? "
         "committed_at:ts? rollback_of:string? updated_at:ts"
     ),
+    "part_version": struct("table_name:string version:long parts:string batches:string updated_at:ts"),
     "publication_event": struct("publication_id:string event_type:string details:string created_at:ts"),
 }
 

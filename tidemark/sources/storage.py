@@ -27,3 +27,15 @@ def move(spark: SparkSession, source: str, target: str) -> None:
 def remove(spark: SparkSession, path: str) -> None:
     target, files = _path(spark, path)
     files.delete(target, True)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The names in a directory; none when it does not exist."""
+    target, files = _path(spark, path)
+    return sorted(entry.getPath().getName() for entry in files.listStatus(target)) if files.exists(target) else []
+
+
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that match a pattern with ``*``."""
+    target, files = _path(spark, pattern)
+    return sorted(str(entry.getPath()) for entry in files.globStatus(target) or [])
