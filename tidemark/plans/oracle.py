@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import re
 
-from tidemark.schemas import RELATIONAL_TABLES
+from pyspark.sql import types as T
+
+from tidemark.schemas import RAW_TABLES, RELATIONAL_TABLES
 
 _B = "00000000-0000-5000-8000-00000000000"
 
@@ -48,6 +50,12 @@ def _digest(table: str, source: str, text: str) -> str:
     )
 
 
+def _content(table: str) -> str:
+    """Row count and digest sums of the business columns of a raw table."""
+    kinds = {f.name: "ts" if isinstance(f.dataType, T.TimestampType) else "other" for f in RAW_TABLES[table].business.fields}
+    return _digest(table, f"raw_{table}", _row_text(**kinds))
+
+
 def _live_keys(second: str) -> str:
     """Live keys of the six relational tables; ``second`` settles revisions of equal source time."""
     return " union all ".join(
@@ -347,6 +355,11 @@ QUERIES: dict[str, str] = {
     "stg_orders_incremental": "select * from stg_orders",
     "stg_customers_incremental": "select * from stg_customers",
     "mart_daily_revenue_delta": "select * from mart_daily_revenue",
+    "load_all_pending": "select *, 2 as batches from (" + " union all ".join(_content(name) for name in sorted(RAW_TABLES)) + ")",
+    "staged_load": """
+        select case when n = 0 then 'after' else 'before' end as seen, order_id, customer_id, status, currency, ordered_at, updated_at, is_deleted
+        from raw_orders, (select unnest([0, 1]) as n) where n = 0 or substr(order_id, 5)::bigint % 2 = 1""",
+    "backfill_job": "select *, timestamp '2024-01-31' as published_at from mart_daily_revenue",
     "published_revenue": "select *, timestamp '2024-01-31' as published_at from mart_daily_revenue",
     "rolled_back_revenue": "select *, timestamp '2024-01-31' as published_at from mart_daily_revenue",
     "catalog_csv_scan": """
