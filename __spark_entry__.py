@@ -14,12 +14,12 @@ from pyspark.sql import functions as F  # noqa: E402
 from pyspark.sql import types as T  # noqa: E402
 
 from tidemark.functions.columns import year_month  # noqa: E402
-from tidemark.operators import checksums, joins, projection, quality, revisions, slo  # noqa: E402
+from tidemark.operators import checksums, digest_tree, joins, projection, quality, revisions, slo  # noqa: E402
 from tidemark.plans import commerce, incremental, ingest, oracle, views  # noqa: E402
 from tidemark.plans.publish import Gold, build_candidates  # noqa: E402
 from tidemark.schemas import MONEY, RAW_TABLES, RELATIONAL_TABLES  # noqa: E402
 from tidemark.session import work_dir  # noqa: E402
-from tidemark.sources import catalog_csv, landing, pages, raw as raw_load, staged, windows  # noqa: E402
+from tidemark.sources import catalog_csv, compaction, landing, pages, raw as raw_load, staged, windows  # noqa: E402
 from tidemark.streaming import landing as streams  # noqa: E402
 
 try:  # the training-data operators are a part that can be left out
@@ -226,6 +226,52 @@ def _compare_tables(raw):
     )
 
 
+def _differing_rows(raw):
+    """Live orders against a copy in which some were deleted, some changed and some inserted."""
+    orders = _live(raw, "orders").select(*RAW_TABLES["orders"].columns)
+    number = F.substring("order_id", 5, 20).cast("long")
+    status = F.when(number % 89 == 2, "lost").otherwise(F.col("status"))
+    new = orders.where(number % 101 == 3).withColumn("order_id", F.concat("order_id", F.lit("-new")))
+    copy = orders.where(number % 97 != 1).withColumn("status", status).unionByName(new)
+    path = work_dir(raw.tables.spark, "copy")
+    copy.write.parquet(path)
+    return digest_tree.differing_rows(orders, raw.tables.spark.read.schema(orders.schema).parquet(path), "order_id")
+
+
+def _compacted_orders(raw):
+    """Orders loaded as six batches; two months are rewritten before the last batch comes."""
+    spark = raw.tables.spark
+    root = work_dir(spark, "lake")
+    orders = raw["orders"].select(*RAW_TABLES["orders"].columns)
+    lot = F.substring("order_id", 5, 20).cast("long") % 6
+    for batch in range(5):
+        landing.land_batch(spark, root, f"shop-{batch}", {"orders": orders.where(lot == batch)})
+    staged.load_all_pending(spark, root)
+    for month in ("199501", "199502"):
+        compaction.compact_month(spark, root, "orders", month)
+    landing.land_batch(spark, root, "shop-5", {"orders": orders.where(lot == 5)})
+    staged.load_all_pending(spark, root)
+    compaction.compact_month(spark, root, "orders", "199502")
+    compaction.drop_replaced(spark, root, "orders")
+    return compaction.read_compacted(spark, root, "orders").select(*orders.columns)
+
+
+def _campaign_months(raw):
+    """Distinct counts of a month from stored daily sketches, with the exact ones they have to be near."""
+    spark = raw.tables.spark
+    events, path = _live(raw, "events"), work_dir(spark, "sketches")
+    commerce.campaign_sketches(events).write.parquet(path)
+    month = F.date_format("event_date", "yyyyMM").alias("month")
+    near = commerce.united_estimates(spark.read.parquet(path).select(month, "*"), "month", "campaign_id")
+    exact = commerce.campaign_event_distincts(events.withColumn("occurred_at", F.date_trunc("month", "occurred_at")))
+    exact = exact.select(month, *exact.columns).drop("event_date")
+    both = exact.join(near.select("month", "campaign_id", *[F.col(n).alias(f"near_{n}") for n in commerce.SKETCHES]), ["month", "campaign_id"], "left")
+    within = F.lit(True)
+    for name in commerce.SKETCHES:
+        within = within & (F.abs(F.col(f"near_{name}") - F.col(name)) <= 1 + F.lit(0.04) * F.col(name))
+    return both.select(*exact.columns, F.coalesce(within, F.lit(False)).alias("within_bound"))
+
+
 def _landed_and_loaded(raw):
     """All nine tables landed as one batch, checked against its manifest, loaded and read back."""
     spark = raw.tables.spark
@@ -509,6 +555,9 @@ def queries() -> dict[str, Query]:
         "table_checksum": lambda raw: checksums.table_checksum(_revenue(raw)),
         "compare_tables": _compare_tables,
         "landed_and_loaded": _landed_and_loaded,
+        "differing_rows": _differing_rows,
+        "compacted_orders": _compacted_orders,
+        "campaign_months": _campaign_months,
         "load_all_pending": _load_all_pending,
         "staged_load": _staged_load,
         "backfill_job": _backfill_job,

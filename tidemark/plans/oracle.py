@@ -361,6 +361,22 @@ QUERIES: dict[str, str] = {
         select case when n = 0 then 'after' else 'before' end as seen, order_id, customer_id, status, currency, ordered_at, updated_at, is_deleted
         from raw_orders, (select unnest([0, 1]) as n) where n = 0 or substr(order_id, 5)::bigint % 2 = 1""",
     "backfill_job": "select *, timestamp '2024-01-31' as published_at from mart_daily_revenue",
+    "differing_rows": """
+        select 'left' as side, order_id, customer_id, status, currency, ordered_at, updated_at, is_deleted from stg_orders
+        where substr(order_id, 5)::bigint % 97 = 1 or substr(order_id, 5)::bigint % 89 = 2
+        union all select 'right', order_id, customer_id, 'lost', currency, ordered_at, updated_at, is_deleted from stg_orders
+        where substr(order_id, 5)::bigint % 89 = 2 and substr(order_id, 5)::bigint % 97 <> 1
+        union all select 'right', order_id || '-new', customer_id, status, currency, ordered_at, updated_at, is_deleted
+        from stg_orders where substr(order_id, 5)::bigint % 101 = 3""",
+    "compacted_orders": "select order_id, customer_id, status, currency, ordered_at, updated_at, is_deleted from raw_orders",
+    "campaign_months": """
+        select strftime(occurred_at, '%Y%m') as month, campaign_id,
+          count(distinct session_id) filter (where event_type = 'product_viewed') as viewing_sessions,
+          count(distinct session_id) filter (where event_type = 'add_to_cart') as cart_sessions,
+          count(distinct session_id) filter (where event_type = 'checkout_completed') as checkout_sessions,
+          count(distinct customer_id) filter (where event_type = 'product_viewed') as viewing_users,
+          true as within_bound
+        from stg_events where campaign_id is not null group by 1, 2""",
     "published_revenue": "select *, timestamp '2024-01-31' as published_at from mart_daily_revenue",
     "rolled_back_revenue": "select *, timestamp '2024-01-31' as published_at from mart_daily_revenue",
     "catalog_csv_scan": """

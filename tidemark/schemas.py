@@ -146,6 +146,7 @@ LEDGERS: dict[str, T.StructType] = {
         "committed_at:ts? rollback_of:string? updated_at:ts"
     ),
     "part_version": struct("table_name:string version:long parts:string batches:string updated_at:ts"),
+    "compaction": struct("table_name:string month:string path:string batches:string row_count:long updated_at:ts"),
     "publication_event": struct("publication_id:string event_type:string details:string created_at:ts"),
 }
 

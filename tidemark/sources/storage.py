@@ -39,3 +39,9 @@ def matching(spark: SparkSession, pattern: str) -> list[str]:
     """The paths that match a pattern with ``*``."""
     target, files = _path(spark, pattern)
     return sorted(str(entry.getPath()) for entry in files.globStatus(target) or [])
+
+
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a path."""
+    target, files = _path(spark, path)
+    return files.getContentSummary(target).getLength()
