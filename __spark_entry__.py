@@ -19,8 +19,8 @@ from tidemark.plans import commerce, incremental, ingest, oracle, views  # noqa:
 from tidemark.plans.publish import Gold, build_candidates  # noqa: E402
 from tidemark.schemas import MONEY, RAW_TABLES, RELATIONAL_TABLES  # noqa: E402
 from tidemark.session import work_dir  # noqa: E402
-from tidemark.sources import catalog_csv, compaction, landing, pages, raw as raw_load, staged, windows  # noqa: E402
-from tidemark.streaming import landing as streams  # noqa: E402
+from tidemark.sources import catalog_csv, compaction, landing, pages, raw as raw_load, staged, variant, windows  # noqa: E402
+from tidemark.streaming import landing as streams, late  # noqa: E402
 
 try:  # the training-data operators are a part that can be left out
     import corpus_pipeline
@@ -133,6 +133,15 @@ def _generic_fields(raw):
     return raw_load.generic_fields(log, "customers", records.schema)
 
 
+def _generic_variant(raw):
+    """Customers as generic records of which half got two more fields later; types are found in the log."""
+    number = F.substring("customer_id", 5, 20).cast("long")
+    early = raw["customers"].where(number % 2 == 0).select("customer_id", "email", "updated_at")
+    later = raw["customers"].where(number % 2 == 1).select("customer_id", "email", "country", number.alias("number"), "updated_at")
+    log = revisions.append_union([raw_load.generic_records(df, "crm", "customers", "b-1", windows.moment(AS_OF)) for df in (early, later)])
+    return variant.generic_variant(log, "customers").withColumn("updated_at", F.col("updated_at").cast("timestamp"))
+
+
 def _source_fingerprint(tables):
     return catalog_csv.fingerprint(_catalog_text(tables))
 
@@ -501,6 +510,17 @@ def _streamed_funnel_metrics(spark, folder):
     return streams.read_funnel_metrics(spark, f"{out}/metrics")
 
 
+def _late_events(spark, folder):
+    """Events that arrive in three files, out of order by up to weeks, split by the stream's own watermark."""
+    out = work_dir(spark, "late-events")
+    events = views.Tables(spark, folder)["events"].select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
+    for arrival in range(3):
+        events.where(F.col("event_id") % 3 == arrival).coalesce(1).write.mode("append").parquet(f"{out}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+    late.split_late(stream, "ts", "2 DAYS", f"{out}/rows", f"{out}/marks", f"{out}/checkpoint")
+    return late.read_split(spark, f"{out}/rows", events).drop(streams.BATCH)
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """The flagship query: daily revenue from the raw revision logs."""
     return _revenue(views.RawViews(spark, "/root/testdata/sf0.001"))
@@ -538,6 +558,7 @@ def queries() -> dict[str, Query]:
         "contract_projection": _contract_projection,
         "generic_landing": _generic_landing,
         "generic_fields": _generic_fields,
+        "generic_variant": _generic_variant,
         "business_columns": _business_columns,
         "load_guard": _load_guard,
         "batch_identity": lambda raw: checksums.table_digests({n: raw[n] for n in ("refunds", "campaign_spend")}),
@@ -607,6 +628,7 @@ def queries() -> dict[str, Query]:
     registered |= {name: _over_raw(build) for name, build in over_raw.items()}
     registered |= {name: _over_tables(build) for name, build in over_tables.items()}
     registered["late_refund"] = _late_refund
+    registered["late_events"] = _late_events
     registered["streamed_revisions"] = _streamed_revisions
     registered["streamed_distinct_events"] = _streamed_distinct_events
     registered["streamed_funnel_metrics"] = _streamed_funnel_metrics

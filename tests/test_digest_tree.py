@@ -31,7 +31,7 @@ def test_rows_equal_brute_force(spark, depth):
 def test_equal_copies_stop_at_the_root(spark):
     rows = pairs(spark, [(f"k{i}", i) for i in range(300)])
     tree = dt.digest_tree(rows, "k")
-    assert dt.differing_prefixes(tree, dt.digest_tree(rows.repartition(7), "k")).collect() == []
+    assert dt.differing_prefixes(tree, dt.digest_tree(rows.repartition(7), "k")) == []
     assert [r.row_count for r in tree.where("level = 0").collect()] == [300]
     assert tree.where("level = 1").agg(F.sum("row_count")).first()[0] == 300
 
@@ -39,8 +39,8 @@ def test_equal_copies_stop_at_the_root(spark):
 def test_only_the_prefix_that_differs_is_found(spark):
     rows = pairs(spark, [(f"k{i}", i) for i in range(300)])
     other = rows.withColumn("v", F.when(F.col("k") == "k5", 0).otherwise(F.col("v")))
-    found = dt.differing_prefixes(dt.digest_tree(rows, "k"), dt.digest_tree(other, "k")).collect()
-    assert [r.prefix for r in found] == [rows.where("k = 'k5'").select(dt.prefix("k", 3)).first()[0]]
+    found = dt.differing_prefixes(dt.digest_tree(rows, "k"), dt.digest_tree(other, "k"))
+    assert found == [rows.where("k = 'k5'").select(dt.prefix("k", 3)).first()[0]]
 
 
 def test_empty_sides(spark):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.checksums import SLICES, digest_sums, with_row_digest
 from tidemark.operators.revisions import append_union
+from tidemark.session import work_dir
 
 DEPTH = 3
 _SUMS = ["row_count", *[f"digest_{i}" for i in range(SLICES)]]
@@ -20,33 +21,35 @@ def prefix(key: str, depth: int) -> Column:
 def digest_tree(df: DataFrame, key: str, depth: int = DEPTH) -> DataFrame:
     """Counts and digest sums of all rows by key-hash prefix, at every level from the root to ``depth``.
 
-    The table is read once, with partial sums per task; the levels above are sums of the level below.
-    A tree has 16^depth rows at its lowest level, whatever the table's size, and may be stored.
+    The table is read once, with partial sums per task; the sums of the lowest level are then added up
+    for every level above. A tree has 16^depth rows at its lowest level, whatever the table's size, and
+    may be stored.
     """
     lowest = with_row_digest(df).withColumn("prefix", prefix(key, depth)).groupBy("prefix").agg(*digest_sums())
-    levels = [lowest]
-    for level in range(depth - 1, -1, -1):
-        above = levels[-1].withColumn("prefix", F.substring("prefix", 1, level))
-        kinds = {name: lowest.schema[name].dataType for name in _SUMS}
-        levels.append(above.groupBy("prefix").agg(*[F.sum(name).cast(kinds[name]).alias(name) for name in _SUMS]))
-    return append_union([tree.withColumn("level", F.lit(depth - i)) for i, tree in enumerate(levels)]).select("level", "prefix", *_SUMS)
+    every = lowest.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth))))
+    every = every.withColumn("prefix", F.substring(F.col("prefix"), F.lit(1), F.col("level")))
+    sums = [F.sum(name).cast(lowest.schema[name].dataType).alias(name) for name in _SUMS]
+    return every.groupBy("level", "prefix").agg(*sums)
 
 
-def differing_prefixes(left: DataFrame, right: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """The prefixes of the lowest level under which two trees differ.
+def differing_prefixes(left: DataFrame, right: DataFrame, depth: int = DEPTH) -> list[str]:
+    """The prefixes of the lowest level under which two (stored) trees differ; 16^depth at most.
 
-    The walk starts at the root and looks at the children of differing nodes only, so a stored tree
-    of an equal copy is read at one row.
+    The walk starts at the root and reads the children of differing nodes only, by a literal filter,
+    so a tree of an equal copy is read at one row.
     """
-    below = None
+    found = [""]
     for level in range(depth + 1):
-        sides = [tree.where(F.col("level") == level).select("prefix", F.struct(*_SUMS).alias(side)) for tree, side in ((left, "left"), (right, "right"))]
-        if below is not None:
-            parents = F.broadcast(below.select(F.col("prefix").alias("parent")))  # 16^depth rows at most
-            sides = [side.withColumn("parent", F.substring("prefix", 1, level - 1)).join(parents, "parent", "left_semi").drop("parent") for side in sides]
-        both = sides[0].join(sides[1], "prefix", "full")
-        below = both.where(~F.col("left").eqNullSafe(F.col("right"))).select("prefix")
-    return below
+        parent = F.substring("prefix", 1, max(level - 1, 0))
+        sides = [
+            tree.where((F.col("level") == level) & parent.isin(found)).select("prefix", F.struct(*_SUMS).alias(side))
+            for tree, side in ((left, "left"), (right, "right"))
+        ]
+        both = sides[0].join(sides[1], "prefix", "full").where(~F.col("left").eqNullSafe(F.col("right")))
+        found = sorted(row.prefix for row in both.select("prefix").collect())
+        if not found:
+            break
+    return found
 
 
 def differing_rows(left: DataFrame, right: DataFrame, key: str, depth: int = DEPTH) -> DataFrame:
@@ -57,10 +60,15 @@ def differing_rows(left: DataFrame, right: DataFrame, key: str, depth: int = DEP
     are those of ``left``, which ``right`` must have.
     """
     right = right.select(*left.columns)
-    prefixes = F.broadcast(differing_prefixes(digest_tree(left, key, depth), digest_tree(right, key, depth), depth))  # 16^depth rows at most
+    spark, folder = left.sparkSession, work_dir(left.sparkSession, "digest-tree")
+    trees = []
+    for side, df in (("left", left), ("right", right)):
+        digest_tree(df, key, depth).write.parquet(f"{folder}/{side}")
+        trees.append(spark.read.parquet(f"{folder}/{side}"))
+    prefixes = differing_prefixes(*trees, depth)
 
     def under(df: DataFrame) -> DataFrame:
-        return df.withColumn("_prefix", prefix(key, depth)).join(prefixes.withColumnRenamed("prefix", "_prefix"), "_prefix", "left_semi").drop("_prefix")
+        return df.where(prefix(key, depth).isin(prefixes))
 
     def per_key(df: DataFrame, side: str) -> DataFrame:
         sums = with_row_digest(under(df)).groupBy(F.col(key).alias("_key")).agg(*digest_sums())

@@ -377,6 +377,14 @@ QUERIES: dict[str, str] = {
           count(distinct customer_id) filter (where event_type = 'product_viewed') as viewing_users,
           true as within_bound
         from stg_events where campaign_id is not null group by 1, 2""",
+    "generic_variant": """
+        select customer_id, email, case when substr(customer_id, 5)::bigint % 2 = 1 then country end as country,
+          case when substr(customer_id, 5)::bigint % 2 = 1 then substr(customer_id, 5)::bigint end as number, updated_at
+        from raw_customers""",
+    "late_events": """
+        select e.event_id, e.ts, e.user_id, e.event_type, coalesce(e.ts < (
+            select max(b.ts) from events b where b.event_id % 3 < e.event_id % 3) - interval 2 day, false) as is_late
+        from events e""",
     "published_revenue": "select *, timestamp '2024-01-31' as published_at from mart_daily_revenue",
     "rolled_back_revenue": "select *, timestamp '2024-01-31' as published_at from mart_daily_revenue",
     "catalog_csv_scan": """
