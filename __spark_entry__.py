@@ -17,9 +17,9 @@ from tidemark.functions.columns import year_month  # noqa: E402
 from tidemark.operators import checksums, digest_tree, joins, projection, quality, revisions, slo  # noqa: E402
 from tidemark.plans import commerce, incremental, ingest, oracle, views  # noqa: E402
 from tidemark.plans.publish import Gold, build_candidates  # noqa: E402
-from tidemark.schemas import MONEY, RAW_TABLES, RELATIONAL_TABLES  # noqa: E402
+from tidemark.schemas import MARTS, MONEY, RAW_TABLES, RELATIONAL_TABLES, TOTAL  # noqa: E402
 from tidemark.session import work_dir  # noqa: E402
-from tidemark.sources import catalog_csv, compaction, landing, pages, raw as raw_load, staged, variant, windows  # noqa: E402
+from tidemark.sources import catalog_csv, compaction, landing, pages, raw as raw_load, staged, storage, variant, windows  # noqa: E402
 from tidemark.streaming import landing as streams, late  # noqa: E402
 
 try:  # the training-data operators are a part that can be left out
@@ -408,6 +408,71 @@ def _revenue_by_differences(raw):
     return view.read()
 
 
+def _landed_as_it_stands(raw, root):
+    """The six relational tables as they stand, landed as one batch and loaded."""
+    spark = raw.tables.spark
+    tables = {name: _live(raw, name).select(*RAW_TABLES[name].columns) for name in RELATIONAL_TABLES}
+    batch = landing.land_batch(spark, root, "shop", tables)
+    staged.load_all_pending(spark, root)
+    return tables, batch
+
+
+def _reconciled_keys(raw):
+    """Live keys of six tables after the job that finds keys gone from the source and writes tombstones."""
+    spark = raw.tables.spark
+    root = work_dir(spark, "lake")
+    tables, _ = _landed_as_it_stands(raw, root)
+    source = {name: df.where(F.substring(F.md5(RAW_TABLES[name].key), 1, 1) != "0") for name, df in tables.items()}
+    ingest.reconcile_hard_deletes(spark, root, "shop", source, datetime(2026, 2, 1, tzinfo=UTC))
+    return _live_keys({name: staged.read_loaded(spark, root, name) for name in RELATIONAL_TABLES})
+
+
+def _landed_twice(raw):
+    """Six tables landed, and landed again: the batch is reused and the checkpoint stays where it was."""
+    spark = raw.tables.spark
+    root = work_dir(spark, "lake")
+    tables, first = _landed_as_it_stands(raw, root)
+    again = landing.land_batch(spark, root, "shop", tables, watermark={"updated_at": "2030-01-01T00:00:00+00:00"})
+    mark = landing.checkpoint(spark, root, "shop")["updated_at"]
+    seen = F.lit(again.reused and again.batch_id == first.batch_id)
+    rows = revisions.append_union([
+        staged.read_loaded(spark, root, name).agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
+        for name in RELATIONAL_TABLES
+    ])
+    return rows.withColumns({"reused": seen, "watermark": F.lit(mark).cast("timestamp")})
+
+
+def _kept_snapshots(raw):
+    """Five versions of revenue published, each over more days; the live one and the three before it are kept."""
+    spark = raw.tables.spark
+    gold = Gold(spark, work_dir(spark, "gold"))
+    path = work_dir(spark, "revenue")
+    _revenue(raw).write.parquet(path)
+    mart = spark.read.parquet(path)
+    for run in range(1, 6):
+        gold.write_candidate(mart.where(F.pmod(F.day("order_date"), F.lit(6)) < run), "mart_daily_revenue", f"run-{run}", AS_OF)
+        gold.publish("mart_daily_revenue", f"run-{run}")
+    paths = sorted([row.candidate_path for row in gold.snapshots("mart_daily_revenue").collect() if storage.exists(spark, row.candidate_path)])
+    paths.append(gold.live("mart_daily_revenue").candidate_path)
+    kept = [
+        spark.read.schema(MARTS["mart_daily_revenue"]).parquet(path).agg(
+            F.count(F.lit(1)).alias("row_count"), F.sum("net_revenue").cast(TOTAL).alias("net_revenue")
+        ).select(F.lit(path.rpartition("/")[2]).alias("run_id"), "*") for path in paths
+    ]
+    return revisions.append_union(kept)
+
+
+def _catalog_flags(tables):
+    """The catalog file with a column that flags deleted products in several spellings."""
+    folder = f"{work_dir(tables.spark, 'catalog')}/files"
+    text = _catalog_text(tables)
+    number = F.substring("product_id", 6, 20).cast("long") % 5
+    flag = F.when(number == 0, "true").when(number == 1, "TRUE").when(number == 2, "no").when(number == 3, "False")
+    sound = text.where(catalog_csv.problem(text).isNull()).withColumn("is_deleted", flag)
+    sound.write.option("header", True).option("escape", '"').csv(folder)
+    return catalog_csv.read_catalog(tables.spark, folder, multi_line=False)
+
+
 def _table_counts(raw):
     return checksums.table_counts({name: _live(raw, name) for name in RELATIONAL_TABLES})
 
@@ -579,6 +644,9 @@ def queries() -> dict[str, Query]:
         "differing_rows": _differing_rows,
         "compacted_orders": _compacted_orders,
         "campaign_months": _campaign_months,
+        "reconciled_keys": _reconciled_keys,
+        "landed_twice": _landed_twice,
+        "kept_snapshots": _kept_snapshots,
         "load_all_pending": _load_all_pending,
         "staged_load": _staged_load,
         "backfill_job": _backfill_job,
@@ -607,6 +675,7 @@ def queries() -> dict[str, Query]:
     }
     over_tables = {
         "catalog_csv_scan": _catalog_csv_scan,
+        "catalog_flags": _catalog_flags,
         "csv_contract": lambda t: catalog_csv.catalog_violations(_catalog_text(t)),
         "source_fingerprint": _source_fingerprint,
         "object_manifest": _object_manifest,

@@ -385,6 +385,22 @@ QUERIES: dict[str, str] = {
         select e.event_id, e.ts, e.user_id, e.event_type, coalesce(e.ts < (
             select max(b.ts) from events b where b.event_id % 3 < e.event_id % 3) - interval 2 day, false) as is_late
         from events e""",
+    "reconciled_keys": " union all ".join(
+        f"select '{table}' as table_name, {KEYS[table]} as key from stg_{table} where substr(md5({KEYS[table]}), 1, 1) <> '0'"
+        for table in RELATIONAL_TABLES),
+    "landed_twice": "select t.*, true as reused, m.watermark from (" + " union all ".join(
+        f"select '{table}' as table_name, count(*) as row_count from stg_{table}" for table in RELATIONAL_TABLES
+    ) + ") t, (select max(w) as watermark from (" + " union all ".join(
+        f"select max(updated_at) as w from stg_{table}" for table in RELATIONAL_TABLES) + ")) m",
+    "kept_snapshots": """
+        select 'run-' || n as run_id, count(*) as row_count, cast(sum(net_revenue) as decimal(38,2)) as net_revenue
+        from mart_daily_revenue, (select unnest([2, 3, 4, 5]) as n) where day(order_date) % 6 < n group by n""",
+    "catalog_flags": """
+        select product_id, product_name, category, cast(nullif(unit_cost, '') as decimal(18,2)) as unit_cost,
+               timestamp '2026-01-01' as updated_at, substr(product_id, 6)::bigint % 5 < 2 as is_deleted
+        from catalog_text
+        where (unit_cost = '' or try_cast(unit_cost as decimal(18,2)) is not null)
+          and try_cast(updated_at as timestamptz) is not null""",
     "published_revenue": "select *, timestamp '2024-01-31' as published_at from mart_daily_revenue",
     "rolled_back_revenue": "select *, timestamp '2024-01-31' as published_at from mart_daily_revenue",
     "catalog_csv_scan": """
