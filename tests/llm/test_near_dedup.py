@@ -49,6 +49,20 @@ def test_empty_table_and_clashing_columns(spark, nothing, awkward):
     assert {2, 3, 9, 12, 13, 15}.isdisjoint({r.doc_id for r in kept.collect()})
 
 
+def test_the_stage_keeps_one_row_of_each_group_when_ids_repeat(spark):
+    one, other = [f"a{i}" for i in range(100)], [f"z{i}" for i in range(100)]
+    near = [*one[:50], "x", *one[51:]], [*other[:50], "x", *other[51:]]
+    rows = [(1, one), (2, near[0]), (2, other), (3, one), (3, one), (4, near[1]), (5, []), (5, [])]
+    docs = spark.createDataFrame([(i, " ".join(t), k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, `class` int")
+    kept = nd.drop_near_duplicates(spark, docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text[:2]) for r in kept.collect()) == [(1, "a0"), (2, "z0"), (5, ""), (5, "")]
+    same = docs.where("doc_id = 3").union(docs.where("doc_id = 3")).repartition(4)
+    assert nd.drop_near_duplicates(spark, same).count() == 1
+    orphans = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    assert nd.drop_near_duplicates(spark, orphans).count() == docs.count()
+
+
 def test_registers_hold_zeros_and_mantissa():
     low = np.array([0x0080000000000000 >> 8, 0xFF00000000010000], np.uint64)
     table = nd.registers(np.sort(low), np.array([0, 2]))

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm import kernels
 from tidemark.llm.components import components
@@ -104,6 +105,13 @@ def _classes_of(values: np.ndarray, bounds: np.ndarray) -> list[int | None]:
             if high > low else None for low, high in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
+def _with_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the class of their text instead of the text."""
+    for piece in kernels.pieces(batches, "text"):
+        classes = pa.array(_classes_of(*kernels.shingle_sets(piece.column("text"))), pa.int64())
+        yield pa.RecordBatch.from_arrays([piece.column("doc"), piece.column("doc_id"), classes], ["doc", "doc_id", "class"])
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in kernels.pieces(batches, "text"):
         values, bounds = kernels.shingle_sets(piece.column("text"))
@@ -333,19 +341,48 @@ class NearDuplicates:
         found = self._blocks(members, "shingles", "pending-blocks").mapInArrow(_confirmed_across(self.percent), "a long, b long")
         return self._written(found.distinct(), "links-across")
 
-    def documents(self) -> DataFrame:
-        """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+    def _placed(self) -> DataFrame:
+        """(class, component_id, first_class): the component's smallest doc_id and the class of the row that bears it."""
         roots = components(self.spark, self.links()).withColumnRenamed("node", "class")
         classes = self.classes.select("class", "first_id").join(roots, "class", "left")
         classes = classes.withColumn("root", F.coalesce("root", "class"))
-        low = classes.where("class <> root or first_id is not null").groupBy("root").agg(F.min("first_id").alias("component_id"))
-        placed = classes.join(low, "root").select("class", "component_id")
+        first = classes.groupBy("root").agg(F.min(F.struct("first_id", "class")).alias("first"))
+        return classes.join(first, "root").select(
+            "class", F.col("first.first_id").alias("component_id"), F.col("first.class").alias("first_class"))
+
+    def documents(self) -> DataFrame:
+        """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
         light = self.sketches.select("doc_id", "n_shingles", "class")
-        out = light.join(placed, "class", "left")
+        out = light.join(self._placed().drop("first_class"), "class", "left")
         component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
         return out.select("doc_id", "n_shingles", component.alias("component_id"),
                           F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
+    def representatives(self, docs: DataFrame) -> DataFrame:
+        """The rows of ``docs`` that stay: one of each component, and all that are not compared.
+
+        A row whose doc_id stands once is decided by it. Rows that share a doc_id are told apart by the class
+        of their own text; of those with equal sets one stays, that with the least digest of its columns.
+        """
+        placed = self._written(self._placed(), "placed-classes")
+        stays = F.col("class").isNull() | ((F.col("class") == F.col("first_class")) & (F.col("doc_id") == F.col("component_id")))
+        marks = self.sketches.where("doc_id is not null").select("doc_id", "class").join(placed, "class", "left")
+        marks = marks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(stays).alias("stays")).where("n > 1 or not stays")
+        marks = self._written(marks, "marks")
+        alone = docs.join(marks.select(F.col("doc_id").alias("_marked")), docs["doc_id"].cast("long") == F.col("_marked"), "left_anti")
+        shared = marks.where("n > 1").select("doc_id")
+        if self._empty(shared):
+            return alone
+        rows = docs.select(F.struct(*(docs[f"`{name}`"] for name in docs.columns)).alias("doc"),
+                           docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+        rows = rows.join(shared, "doc_id", "left_semi").select("doc", "doc_id", "text")
+        kind = T.StructType([rows.schema["doc"], T.StructField("doc_id", T.LongType()), T.StructField("class", T.LongType())])
+        judged = rows.mapInArrow(_with_class, kind).join(placed, "class", "left").where(stays).select("doc", "doc_id", "class")
+        judged = self._written(judged, "shared-ids")
+        digest = F.sha2(F.to_json("doc"), 256)
+        one = judged.where("class is not null").groupBy("doc_id", "class").agg(F.min_by("doc", digest).alias("doc"))
+        return alone.union(judged.where("class is null").select("doc.*")).union(one.select("doc.*"))
+
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept, for every row of ``docs``.
@@ -356,6 +393,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75) -> DataFrame:
-    """``docs`` without the documents that a near duplicate with a smaller doc_id stands for."""
-    gone = near_duplicates(spark, docs, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    """``docs`` with one row of each group of near duplicates, that with the smallest doc_id.
+
+    Rows are removed by their own text: of rows that share a doc_id, only those go whose group another
+    row stands for. Of repeated rows one stays. Rows without ``doc_id`` and null or blank texts are not
+    compared and stay. Other columns may have any name. Empty in, empty out.
+    """
+    return NearDuplicates(spark, docs, percent).representatives(docs)
