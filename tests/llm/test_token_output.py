@@ -18,9 +18,7 @@ NASTY = ["", None, "  a  b ", "\n\n x\ty \n", "it's 'S don't", " a  b", "é à b
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    plain = Tokenizer.from_file(PATH)
-    plain.encode_special_tokens = True
-    return plain
+    return Tokenizer.from_file(PATH)
 
 
 def ids(tokenizer, text):
@@ -33,6 +31,25 @@ def test_pieces_give_the_tokens_of_whole_texts(tokenizer):
         assert ids_[bounds[i]:bounds[i + 1]].tolist() == ids(tokenizer, text)[:-1]
 
 
+def test_special_tokens_in_texts(tokenizer):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y", "q  <|endoftext|>\n z", "<|endoftext |> a"]
+    ids_, bounds = to.encode_column(pa.array(texts), PATH)
+    assert [ids_[bounds[i]:bounds[i + 1]].tolist() for i in range(len(texts))] == [ids(tokenizer, t)[:-1] for t in texts]
+    assert ids_[bounds[0]:bounds[1]].tolist() == [64, 220, 50256, 275]
+    assert 50256 not in to.encode_column(pa.array(texts), PATH, specials_are_text=True)[0]
+
+
+@pytest.mark.parametrize("most", [0, 3, 1000])
+def test_known_pieces_change_nothing(tokenizer, most):
+    draw = np.random.default_rng(3)
+    known = to.KnownPieces(most)
+    for _ in range(6):
+        texts = [" ".join(f"word{n}" for n in draw.zipf(1.3, 80) % 500) for _ in range(20)] + NASTY
+        ids_, bounds = to.encode_column(pa.array(texts), PATH, known=known)
+        assert [ids_[bounds[i]:bounds[i + 1]].tolist() for i in range(len(texts))] == [ids(tokenizer, t)[:-1] for t in texts]
+        assert len(known.hashes) <= most and (np.diff(known.hashes.astype(object)) > 0).all()
+
+
 def check(spark, tokenizer, docs):
     rows = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     want, start = [], 0

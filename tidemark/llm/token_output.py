@@ -7,7 +7,8 @@ sizes and every file has page indexes, so a reader of some documents or of the m
 skips the rest.
 
 Pieces of text between places where the tokenizer can join nothing repeat often, so each distinct piece
-of a run of documents is encoded once; ids are then put together per document.
+of a run of documents is encoded once, and a task keeps the ids of a bounded number of pieces that came more
+than once for its later runs; ids are then put together per document.
 """
 
 from __future__ import annotations
@@ -29,17 +30,18 @@ from tidemark.session import work_dir
 END = 2
 PIECE_BYTES = 8 << 20
 GROUP_PIECES = 1000
+KNOWN_PIECES = 1 << 18
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(path: str):
+def _tokenizer(path: str, specials_are_text: bool = False):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # the strings of special tokens in a text are text
+    tokenizer.encode_special_tokens = specials_are_text
     lengths = np.zeros(tokenizer.get_vocab_size(), np.int64)
     for token, number in tokenizer.get_vocab().items():
         lengths[number] = len(token)  # a byte-level token has one character a byte
@@ -68,9 +70,44 @@ def piece_bounds(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-def encode_column(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids of every row, end to end, and their bounds; nothing is added."""
-    tokenizer, lengths = _tokenizer(path)
+class KnownPieces:
+    """The ids of pieces that came more than once, found by the hash of their bytes; at most ``most`` pieces."""
+
+    def __init__(self, most: int = KNOWN_PIECES):
+        self.most, self.hashes, self.tokens = most, np.empty(0, np.uint64), np.empty(0, np.int32)
+        self.begin, self.count = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each hash, and whether it is known."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return at, self.hashes[at] == hashes
+
+    def learn(self, hashes: np.ndarray, tokens: np.ndarray, begin: np.ndarray, count: np.ndarray) -> None:
+        """Keep new pieces while there is room; ``begin`` and ``count`` say where in ``tokens`` their ids are."""
+        room = self.most - len(self.hashes)
+        hashes, begin, count = hashes[:room], begin[:room], count[:room]
+        if not len(hashes):
+            return
+        upto = np.cumsum(count)
+        own = tokens[np.repeat(begin - upto + count, count) + np.arange(upto[-1])]
+        order = np.argsort(np.concatenate([self.hashes, hashes]))
+        self.begin = np.concatenate([self.begin, len(self.tokens) + upto - count])[order]
+        self.count = np.concatenate([self.count, count])[order]
+        self.hashes = np.concatenate([self.hashes, hashes])[order]
+        self.tokens = np.concatenate([self.tokens, own])
+
+
+def encode_column(column: pa.Array, path: str, specials_are_text: bool = False,
+                  known: KnownPieces | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of every row, end to end, and their bounds; nothing is added.
+
+    The string of a special token in a text becomes that token, as the library does by default, or is
+    encoded as any other text. Texts have to be encoded alike wherever ``known`` is shared.
+    """
+    tokenizer, lengths = _tokenizer(path, specials_are_text)
+    known = known or KnownPieces(0)
     data, bounds = kernels.text_buffers(column)
     data, bounds = data[bounds[0]:bounds[-1]], bounds - bounds[0]
     if not len(data):
@@ -84,38 +121,44 @@ def encode_column(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
         at, to = int(starts[low]), int(ends[high - 1])
         hashes[low:high] = kernels.hash_spans(data[at:to], starts[low:high] - at, ends[low:high] - at, fold=False)
         low = high
-    _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    at_known, is_known = known.find(distinct)
+    new = np.flatnonzero(~is_known)
     # A piece may be joined with its neighbours when it starts with white space and ends with a solid character.
     solid = _solid(data)
-    joins = ((data[starts[first]] == 0x20) | (data[starts[first]] == 0x0A)) & solid[ends[first] - 1]
-    order = np.concatenate([np.flatnonzero(joins), np.flatnonzero(~joins)])
+    joins = ((data[starts[first[new]]] == 0x20) | (data[starts[first[new]]] == 0x0A)) & solid[ends[first[new]] - 1]
+    order = np.concatenate([new[joins], new[~joins]])
     raw, at, to = data.tobytes(), starts[first[order]], ends[first[order]]
     several = int(joins.sum())
     groups = [(low, min(low + GROUP_PIECES, several)) for low in range(0, several, GROUP_PIECES)]
     groups += [(low, low + 1) for low in range(several, len(order))]
     texts = [b"".join(raw[at[i]:to[i]] for i in range(low, high)).decode() for low, high in groups]
     tokens = [np.array(x.ids, np.int32) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-    tokens = np.concatenate(tokens)
-    # Piece boundaries in the tokens, by the bytes that each token stands for.
-    token_ends = np.cumsum(lengths[tokens])
+    tokens = np.concatenate([known.tokens, *tokens])
+    # Piece boundaries in the new tokens, by the bytes that each token stands for.
+    base = len(known.tokens)
+    token_ends = np.cumsum(lengths[tokens[base:]])
     piece_ends = np.cumsum(to - at)
     upto = np.searchsorted(token_ends, piece_ends, "left") + 1
     if not np.array_equal(token_ends[upto - 1], piece_ends):
         raise ValueError("a token crosses a piece of text")
-    begin, count = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-    begin[order] = np.append(0, upto[:-1])
-    count[order] = np.diff(np.append(0, upto))
+    begin, count = np.empty(len(distinct), np.int64), np.empty(len(distinct), np.int64)
+    begin[is_known], count[is_known] = known.begin[at_known[is_known]], known.count[at_known[is_known]]
+    before = np.append(0, upto)[:-1]
+    begin[order], count[order] = base + before, upto - before
+    again = new[np.bincount(which, minlength=len(distinct))[new] > 1]
+    known.learn(distinct[again], tokens, begin[again], count[again])
     counts = count[which]
     total = np.append(0, np.cumsum(counts))
     ids = tokens[np.repeat(begin[which] - total[:-1], counts) + np.arange(total[-1])]
     return ids, total[np.searchsorted(starts, bounds)]
 
 
-def _encode(path: str, end: int):
+def _encode(path: str, end: int, specials_are_text: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, placed = TaskContext.get().partitionId(), 0
+        shard, placed, known = TaskContext.get().partitionId(), 0, KnownPieces()
         for piece in kernels.pieces(batches, "text", PIECE_BYTES):
-            ids, bounds = encode_column(piece.column("text"), path)
+            ids, bounds = encode_column(piece.column("text"), path, specials_are_text, known)
             rows = piece.num_rows
             ids = np.insert(ids, bounds[1:], end)
             bounds = bounds + np.arange(rows + 1)
@@ -128,15 +171,16 @@ def _encode(path: str, end: int):
     return encode
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = END) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = END, specials_are_text: bool = False) -> None:
     """Write the ids of every text in ascending doc_id order.
 
     A null text is empty; every document gets the end id. A null doc_id comes first; rows with the
-    same doc_id stand side by side, ordered by text.
+    same doc_id stand side by side, ordered by text. The string of a special token inside a text becomes that
+    token unless ``specials_are_text``.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    encoded = ordered.mapInArrow(_encode(tokenizer, end), "doc_id long, shard int, start long, n_tokens long, tokens array<int>")
+    encoded = ordered.mapInArrow(_encode(tokenizer, end, specials_are_text), "doc_id long, shard int, start long, n_tokens long, tokens array<int>")
     options = {
         "compression": "snappy",
         "parquet.block.size": ROW_GROUP_BYTES,
