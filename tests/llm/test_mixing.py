@@ -52,7 +52,6 @@ def test_awkward_rows(spark, awkward, nothing):
     check(docs, mixing.mixture(spark, docs).collect())
     rows = mixing.mixture(spark, awkward).collect()
     assert len(rows) == awkward.count()
-    assert len({r.taken for r in rows if r.doc_id == 1}) == 1
     assert mixing.mixture(spark, nothing).count() == 0
     assert mixing.mixed(spark, nothing).count() == 0
 
@@ -99,4 +98,28 @@ def test_a_document_larger_than_the_remainder_stops_nothing(spark):
     taken, want = check(docs, got)
     off = {s: taken[s] / want[s] - 1 for k, s in enumerate(sources) if k % 3}  # of the others, all small documents do not suffice
     assert all(abs(x) <= 0.05 for x in off.values()), off
-    assert len({r.taken for r in got if r.doc_id == -1}) == 1
+
+
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_rows_of_one_id_are_taken_one_by_one(spark, doc_id):
+    rows = [(doc_id, "w " * 10, "a") for _ in range(100)] + [(1000 + i, "w " * 10, s) for i in range(50) for s in "bc"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mixture(spark, docs).collect()
+    ours = [r for r in got if r.doc_id == doc_id]
+    assert len(ours) == 100 and abs(sum(r.taken for r in ours) - ours[0].target) <= 10
+    assert {r.taken for r in ours} == {10, 20}
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mixture(spark, docs.repartition(3)).collect()))
+    out = mixing.mixed(spark, docs)
+    assert out.where(F.col("doc_id").eqNullSafe(doc_id)).count() * 10 == sum(r.taken for r in ours)
+
+
+def test_numbers_of_repeated_rows(spark):
+    rows = [(1, "a", 3, k) for k in range(70)] + [(None, None, 3, k) for k in range(70, 100)] + [(2, "a", 3, 100)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long, k long").repartition(6)
+    repeated = df.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    got = mixing._numbered(spark, df, repeated).collect()
+    assert sorted(r.k for r in got) == list(range(101))
+    for key, n in ((1, 70), (None, 30), (2, 1)):
+        assert sorted(r.part for r in got if r.doc_id == key) == list(range(n))
+    units = repeated.withColumn("preference", F.lit(1).cast("long"))
+    assert sorted(r.part for r in mixing._further_rows(units).collect()) == sorted([*range(1, 70), *range(1, 30)])

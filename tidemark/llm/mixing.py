@@ -10,8 +10,11 @@ document whose size comes closest to what is left is added if it brings the sour
 All of it is DataFrame operations. Ranks are cut by two levels of 1,024 bins a source, which are
 summed before the shuffle, and only the documents of the one bin that the cut falls into are ordered
 exactly. So a source with a third of all documents is ordered nowhere as a whole, and the decision for
-a document is a comparison with the bounds and cuts of its source's rounds. Rows are joined with
-documents only to find how often repeated ones stand.
+a document is a comparison with the bounds and cuts of its source's rounds.
+
+Every row is a unit of its own. Rows that share doc_id, source and size are numbered, and the number takes
+part in the draw, so that as many of them are taken as the target asks for. Rows are joined with documents
+only to find which ones are repeated.
 """
 
 from __future__ import annotations
@@ -26,9 +29,11 @@ from tidemark.session import work_dir
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 SEED = 20240601
-ROUND = "struct<most:double,cut:struct<rank:bigint,doc_id:bigint,size:bigint>>"
+ROUND = "struct<most:double,cut:struct<rank:bigint,doc_id:bigint,part:bigint,size:bigint>>"
 _BITS = 10
 _SCALE = 1 << 40
+_CHUNK = 1 << 16
+_KEY = ("doc_id", "source", "size")
 
 
 def word_count(text: Column) -> Column:
@@ -66,7 +71,9 @@ def _preference() -> Column:
 def _rank() -> Column:
     """The Pareto rank, u/(1-u) over p/(1-p), mapped to 0 .. 2^40 in the same order."""
     p = F.least(F.lit(0.999999), F.col("rest") * F.col("preference") / F.col("mean_preference"))
-    u = (F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id")), F.lit(1 << 52)) + 0.5) / (1 << 52)
+    draw = F.xxhash64(F.lit(SEED), F.col("doc_id"))
+    draw = F.when(F.col("part") == 0, draw).otherwise(F.xxhash64(draw, F.col("part")))
+    u = (F.pmod(draw, F.lit(1 << 52)) + 0.5) / (1 << 52)
     odds = (u / (1 - u)) / (p / (1 - p))
     return F.when(F.col("rest") > 0, F.floor(odds / (1 + odds) * _SCALE))
 
@@ -84,12 +91,12 @@ def _joined_left(rows: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def _place() -> Column:
-    return F.struct("rank", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "size")
+    return F.struct("rank", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "part", "size")
 
 
-def _in_rounds(words: Column) -> Column:
-    """Whether one of the source's rounds takes a document of ``words`` at ``place``."""
-    return F.exists("rounds", lambda r: (r["most"].isNull() | (words <= r["most"])) & (r["cut"].isNull() | (F.col("place") < r["cut"])))
+def _in_rounds() -> Column:
+    """Whether one of the source's rounds takes a document of its size at ``place``."""
+    return F.exists("rounds", lambda r: (r["most"].isNull() | (F.col("size") <= r["most"])) & (r["cut"].isNull() | (F.col("place") < r["cut"])))
 
 
 def _cut(waiting: DataFrame, state: DataFrame, written: Callable[[DataFrame, str], DataFrame], turn: int) -> DataFrame:
@@ -100,21 +107,29 @@ def _cut(waiting: DataFrame, state: DataFrame, written: Callable[[DataFrame, str
         bin_of = F.pmod(F.shiftright("rank", 40 - _BITS * level), F.lit(1 << _BITS))
         binned = inside.withColumn("bin", bin_of)
         order = Window.partitionBy("source").orderBy("bin")
-        bins = binned.groupBy("source", "bin").agg(F.sum("words").cast("decimal(38,0)").alias("words"))
+        bins = binned.groupBy("source", "bin").agg(F.sum("size").cast("decimal(38,0)").alias("words"))
         bins = _joined(bins.withColumn("upto", F.sum("words").over(order)), cuts.select("source", "taken", "left"))
         crossing = bins.where(F.col("taken") + F.col("upto") > F.col("left")).groupBy("source").agg(
             F.min_by(F.struct("bin", (F.col("taken") + F.col("upto") - F.col("words")).cast("decimal(38,0)").alias("taken"), "left"), "bin").alias("c"))
         cuts = written(crossing.select("source", "c.bin", "c.taken", "c.left"), f"cuts-{turn}-{level}")
         inside = _joined(binned, cuts.select("source", F.col("bin").alias("cut_bin"))).where("bin = cut_bin").drop("bin", "cut_bin")
     order = Window.partitionBy("source").orderBy("place")
-    last = _joined(inside.withColumn("upto", F.sum("words").over(order)), cuts.select("source", "taken", "left"))
+    last = _joined(inside.withColumn("upto", F.sum("size").over(order)), cuts.select("source", "taken", "left"))
     return last.where(F.col("taken") + F.col("upto") > F.col("left")).groupBy("source").agg(F.min("place").alias("cut"))
 
 
+def _further_rows(groups: DataFrame) -> DataFrame:
+    """Units of the second and later rows of repeated ones; a long run is unfolded by many tasks."""
+    last = F.col("rows") - 1
+    chunks = groups.select(*_KEY, "preference", "rows", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / _CHUNK))).alias("chunk"))
+    parts = F.sequence(F.greatest(F.lit(1), F.col("chunk") * _CHUNK), F.least(last, (F.col("chunk") + 1) * _CHUNK - 1))
+    return chunks.repartition(*_KEY, "chunk").select(*_KEY, "preference", F.explode(parts).alias("part"))
+
+
 def mixing_plan(spark: SparkSession, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One row per source that decides every document's copies, and (doc_id, source, size, words) of repeated rows.
+    """One row per source that decides every document's copies, and (doc_id, source, size, rows) of repeated rows.
 
-    ``sizes`` has doc_id, source and size. Rows that share all three are taken or left together.
+    ``sizes`` has doc_id, source and size. Rows that share all three are numbered 0, 1, and so on.
     """
     folder = work_dir(spark, "mixing")
 
@@ -122,31 +137,36 @@ def mixing_plan(spark: SparkSession, sizes: DataFrame) -> tuple[DataFrame, DataF
         df.write.parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
-    units = sizes.groupBy("doc_id", "source", "size").agg((F.count(F.lit(1)) * F.col("size")).alias("words"))
-    units = written(units.withColumn("preference", _preference()), "units")
+    groups = sizes.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("rows")).withColumn("words", F.col("rows") * F.col("size"))
+    groups = written(groups.withColumn("preference", _preference()), "groups")
     share = F.sum(F.col("preference").cast("decimal(38,0)") * F.col("words")) / F.nullif(F.sum("words"), F.lit(0))
-    preference = units.groupBy("source").agg(share.cast("double").alias("mean_preference"))
-    targets = source_targets(units.select("source", F.col("words").alias("size")))
+    preference = groups.groupBy("source").agg(share.cast("double").alias("mean_preference"))
+    targets = source_targets(groups.select("source", F.col("words").alias("size")))
+    repeated = written(groups.where("rows > 1").select(*_KEY, "rows"), "repeated")
+    units = groups.select(*_KEY, "preference", F.lit(0).cast("long").alias("part"))
+    if not repeated.isEmpty():
+        units = units.union(_further_rows(groups.where("rows > 1")))
     copies = F.coalesce(F.floor(F.col("target") / F.nullif("source_size", F.lit(0))), F.lit(0)).cast("int")
     sources = _joined(targets, preference).withColumn("copies", copies)
     sources = sources.withColumn("gap", F.greatest(F.lit(0.0), F.col("target") - F.col("copies") * F.col("source_size")))
     sources = sources.withColumn("rest", F.coalesce(F.col("gap") / F.nullif("source_size", F.lit(0)), F.lit(0.0)))
     sources = written(sources, "sources")
     ranked = written(_joined(units, sources.select("source", "rest", "mean_preference")).withColumn("rank", _rank())
-                     .where("rank is not null").select("doc_id", "source", "size", "words", "rank"), "ranked")
+                     .where("rank is not null and size > 0").select(*_KEY, "part", "rank"), "ranked")
 
     # A round takes, of the documents not taken and no larger than what is left, those before its cut.
     state = sources.withColumns({"left": F.col("gap"), "rounds": F.array().cast(f"array<{ROUND}>")})
     waiting, turn = ranked.withColumn("place", _place()), 0
     while True:
-        waiting = _joined(waiting, state.select("source", "left")).where("words <= left and words > 0" if turn else "words > 0").drop("left")
+        if turn:
+            waiting = _joined(waiting, state.select("source", "left")).where("size <= left").drop("left")
         waiting = written(waiting, f"waiting-{turn}")
         if turn and waiting.isEmpty():
             break
         cut = written(_cut(waiting, state, written, turn), f"cut-{turn}")
         tried = _joined_left(waiting, cut)
         ahead = F.col("cut").isNull() | (F.col("place") < F.col("cut"))
-        got = tried.where(ahead).groupBy("source").agg(F.sum("words").alias("got"))
+        got = tried.where(ahead).groupBy("source").agg(F.sum("size").alias("got"))
         most = F.when(F.lit(turn > 0), F.col("left"))
         state = _joined_left(_joined_left(state, cut), got).withColumns({
             "rounds": F.array_append("rounds", F.struct(most.alias("most"), F.col("cut").alias("cut"))),
@@ -155,20 +175,44 @@ def mixing_plan(spark: SparkSession, sizes: DataFrame) -> tuple[DataFrame, DataF
         waiting = tried.where(~ahead).drop("cut")
         turn += 1
     # The rest may be exceeded by one document that brings the source nearer to its target.
-    miss = F.abs(F.col("words") - F.col("left"))
+    miss = F.abs(F.col("size") - F.col("left"))
     outside = _joined(ranked.withColumn("place", _place()), state.select("source", "left", "rounds")).where(
-        ~_in_rounds(F.col("words")) & (F.col("words") > 0) & (miss < F.col("left")))
+        ~_in_rounds() & (miss < F.col("left")))
     fill = outside.groupBy("source").agg(F.min_by("place", F.struct(miss.alias("miss"), "place")).alias("fill"))
-    written(units.where("words > size").select("doc_id", "source", "size", "words"), "repeated")
-    return written(_joined_left(state, fill), "plan"), spark.read.parquet(f"{folder}/repeated")
+    return written(_joined_left(state, fill), "plan"), repeated
 
 
-def with_copies(rows: DataFrame, plan: DataFrame, repeated: DataFrame) -> DataFrame:
+def _numbered(spark: SparkSession, rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``rows`` with ``part``, their number among the rows of equal doc_id, source and size.
+
+    Repeated rows are written with the partition they were read in. They are counted by partition and numbered
+    within it, so equal rows never have to meet in one task.
+    """
+    same = F.expr(" and ".join(f"r.{name} <=> s.{name}" for name in _KEY))
+    both = rows.alias("r").join(repeated.alias("s"), same, "left").select("r.*", F.col("s.rows").alias("rows"))
+    single = both.where("rows is null").select(*rows.columns, F.lit(0).cast("long").alias("part"))
+    if repeated.isEmpty():
+        return single
+    path = f"{work_dir(spark, 'mixing-repeated')}/rows"
+    several = both.where("rows is not null").drop("rows")
+    several.withColumns({"shard": F.spark_partition_id(), "row": F.monotonically_increasing_id()}).write.parquet(path)
+    several = spark.read.parquet(path)
+    before = Window.partitionBy(*_KEY).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    shards = several.groupBy(*_KEY, "shard").agg(F.count(F.lit(1)).alias("n"))
+    shards = shards.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    # Only ids are ordered; whole rows are joined with their numbers.
+    place = F.row_number().over(Window.partitionBy(*_KEY, "shard").orderBy("row")) - 1
+    numbers = several.select(*_KEY, "shard", "row").withColumn("place", place)
+    same = F.expr(" and ".join(f"r.{name} <=> s.{name}" for name in (*_KEY, "shard")))
+    numbers = numbers.alias("r").join(shards.alias("s"), same).select("row", (F.col("place") + F.col("base")).alias("part"))
+    return single.union(several.join(numbers, "row").select(*rows.columns, "part"))
+
+
+def with_copies(spark: SparkSession, rows: DataFrame, plan: DataFrame, repeated: DataFrame) -> DataFrame:
     """``rows`` (with doc_id, source and size) with source_size, target and taken_copies."""
-    same = F.expr(" and ".join(f"r.{name} <=> s.{name}" for name in ("doc_id", "source", "size")))
-    both = rows.alias("r").join(repeated.alias("s"), same, "left").select("r.*", F.coalesce("s.words", "r.size").alias("words"))
-    both = _joined(both, plan).withColumn("preference", _preference()).withColumn("rank", _rank()).withColumn("place", _place())
-    sampled = F.col("rank").isNotNull() & (_in_rounds(F.col("words")) | F.coalesce(F.col("place") == F.col("fill"), F.lit(False)))
+    both = _joined(_numbered(spark, rows, repeated), plan)
+    both = both.withColumn("preference", _preference()).withColumn("rank", _rank()).withColumn("place", _place())
+    sampled = F.col("rank").isNotNull() & (_in_rounds() | F.coalesce(F.col("place") == F.col("fill"), F.lit(False)))
     both = both.withColumn("taken_copies", F.col("copies") + F.when(sampled, 1).otherwise(0))
     return both.select(*rows.columns, "source_size", "target", "taken_copies")
 
@@ -182,12 +226,13 @@ def mixture(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row of ``docs``.
 
     ``taken`` is the row's size times its copies, at most three. A null or blank text has size 0. Null
-    sources are a source of their own, the last. Repeated rows share one decision. Empty in, empty out.
+    sources are a source of their own, the last. Repeated rows are decided one by one: how many of them are
+    taken is fixed, which ones is not. A null doc_id is an id like any other. Empty in, empty out.
     """
     folder = work_dir(spark, "mixture")
     _sized(docs, ["doc_id"]).drop("doc").write.parquet(f"{folder}/sizes")
     sizes = spark.read.parquet(f"{folder}/sizes")
-    out = with_copies(sizes, *mixing_plan(spark, sizes))
+    out = with_copies(spark, sizes, *mixing_plan(spark, sizes))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("taken_copies")).alias("taken"))
 
 
@@ -196,5 +241,5 @@ def mixed(spark: SparkSession, docs: DataFrame) -> DataFrame:
     folder = work_dir(spark, "mixed")
     _sized(docs, ["doc_id"]).drop("doc").write.parquet(f"{folder}/sizes")
     plan = mixing_plan(spark, spark.read.parquet(f"{folder}/sizes"))
-    taken = with_copies(_sized(docs, docs.columns), *plan).where("taken_copies > 0")
+    taken = with_copies(spark, _sized(docs, docs.columns), *plan).where("taken_copies > 0")
     return taken.select("doc", F.explode(F.sequence(F.lit(1), "taken_copies"))).select("doc.*")
