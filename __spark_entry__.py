@@ -19,7 +19,7 @@ from tidemark.plans import commerce, incremental, ingest, oracle, views  # noqa:
 from tidemark.plans.publish import Gold, build_candidates  # noqa: E402
 from tidemark.schemas import MARTS, MONEY, RAW_TABLES, RELATIONAL_TABLES, TOTAL  # noqa: E402
 from tidemark.session import work_dir  # noqa: E402
-from tidemark.sources import catalog_csv, compaction, landing, pages, raw as raw_load, staged, storage, variant, windows  # noqa: E402
+from tidemark.sources import catalog_csv, compaction, landing, paged, pages, raw as raw_load, staged, storage, variant, windows  # noqa: E402
 from tidemark.streaming import landing as streams, late  # noqa: E402
 
 try:  # the training-data operators are a part that can be left out
@@ -88,6 +88,27 @@ def _page_items(raw):
     return pages.page_items(envelopes, window=windows.day_window(date(1995, 1, 2), date(1995, 1, 2)))
 
 
+def _page_ingest(raw):
+    """Customers as page files of many items, landed in two runs with pages arriving between them; what each run landed."""
+    spark = raw.tables.spark
+    root = work_dir(spark, "lake")
+    names = ("customer_id", "email", "country", "updated_at")
+    item = F.struct(*names[:3], F.col("updated_at").cast("string").alias("updated_at"))
+    page = F.floor(F.regexp_extract("customer_id", "[0-9]+", 0).cast("long") / 500)
+    bodies = raw["customers"].groupBy(page.alias("next_cursor")).agg(F.collect_list(item).alias("items"))
+    record = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    landed = []
+    for turn in (1, 2):
+        bodies.where(F.col("next_cursor") % 2 == turn - 1).write.json(f"{root}/pages/{turn:04}")
+        batch = paged.ingest_pages(spark, root, "customers", f"{root}/pages", record)
+        if batch:
+            rows = spark.read.parquet(landing.table_path(root, "customers", "customers", batch.batch_id))
+            landed.append(rows.select(*names, F.lit(turn).alias("turn")))
+        if paged.ingest_pages(spark, root, "customers", f"{root}/pages", record) is not None:
+            raise RuntimeError("a run without new pages landed something")
+    return revisions.append_union(landed)
+
+
 def _catalog_text(tables):
     key = F.col("p_partkey")
     cost = F.when(key % 50 == 0, "not-a-decimal").when(key % 7 == 0, "").otherwise(
@@ -618,6 +639,7 @@ def queries() -> dict[str, Query]:
         ),
         "source_watermark": lambda raw: windows.source_watermark([raw[n] for n in RELATIONAL_TABLES]),
         "page_items": _page_items,
+        "page_ingest": _page_ingest,
         "raw_append_union": _append_union,
         "raw_audit_append": _audit_append,
         "contract_projection": _contract_projection,

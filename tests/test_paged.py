@@ -1,0 +1,87 @@
+import json
+
+import pytest
+from pyspark.sql import types as T
+
+from tidemark.sources import paged
+from tidemark.sources.landing import checkpoint
+
+RECORD = T.StructType([T.StructField(n, T.StringType()) for n in ("campaign_id", "name", "updated_at")])
+
+
+def page(folder, number, ids, key="items"):
+    records = [{"campaign_id": f"c{i}", "name": "é\n" if i % 2 else None, "updated_at": f"2026-01-{i % 28 + 1:02}T00:00:00Z"} for i in ids]
+    (folder / f"{number:05}.json").write_text(json.dumps({key: records, "next_cursor": f"{number + 1:05}"}))
+
+
+def ids(df):
+    return sorted(int(r.campaign_id[1:]) for r in df.select("campaign_id").collect())
+
+
+def test_pages_are_read_in_groups(spark, tmp_path):
+    for n in range(10):
+        page(tmp_path, n, range(n * 5, n * 5 + 5))
+    (tmp_path / ".00011.json").write_text("being written")
+    rows = paged.read_paged(spark, str(tmp_path), RECORD, groupPages=3)
+    assert rows.rdd.getNumPartitions() == 4 and ids(rows) == list(range(50))
+    some = paged.read_paged(spark, f"file:{tmp_path}", RECORD, after="00002", upto="00004")
+    assert sorted((r.page, r.position) for r in some.collect()) == [(f"{n:05}", k) for n in (3, 4) for k in range(5)]
+    assert paged.read_paged(spark, str(tmp_path), RECORD, after="00009").count() == 0
+
+
+def test_several_envelopes_in_a_nested_page(spark, tmp_path):
+    spark.range(1000).selectExpr("id div 10 as next_cursor", "struct('c' || id as campaign_id, 'n' as name) as item").groupBy(
+        "next_cursor").agg({"item": "collect_list"}).toDF("next_cursor", "items").repartition(3).write.json(f"{tmp_path}/0001")
+    rows = paged.read_paged(spark, str(tmp_path), RECORD, groupPages=1)
+    assert rows.rdd.getNumPartitions() == 3 and ids(rows) == list(range(1000))
+    assert rows.select("page", "position").distinct().count() == 1000
+
+
+def test_ingest_goes_on_behind_its_cursor(spark, tmp_path):
+    pages, root = tmp_path / "pages", str(tmp_path / "lake")
+    pages.mkdir()
+    assert paged.ingest_pages(spark, root, "campaigns", str(pages), RECORD) is None
+    for n in range(3):
+        page(pages, n, range(n * 4, n * 4 + 4))
+    first = paged.ingest_pages(spark, root, "campaigns", str(pages), RECORD)
+    assert first.row_count == 12
+    assert checkpoint(spark, root, "campaigns")["cursor"] == "00002"
+    assert paged.ingest_pages(spark, root, "campaigns", str(pages), RECORD) is None
+    page(pages, 3, [3, 12])
+    page(pages, 4, [])
+    assert paged.ingest_pages(spark, root, "campaigns", str(pages), RECORD).row_count == 2
+    mark = checkpoint(spark, root, "campaigns")
+    assert mark["cursor"] == "00004" and mark["updated_at"].startswith("2026-01-13")
+    page(pages, 5, [])
+    assert paged.ingest_pages(spark, root, "campaigns", str(pages), RECORD) is None
+    assert checkpoint(spark, root, "campaigns") == {**mark, "cursor": "00005"}
+
+
+def test_a_broken_page_fails_and_moves_nothing(spark, tmp_path):
+    pages, root = tmp_path / "pages", str(tmp_path / "lake")
+    pages.mkdir()
+    page(pages, 0, [1], key="rows")
+    with pytest.raises(Exception, match="has no list items"):
+        paged.ingest_pages(spark, root, "campaigns", str(pages), RECORD)
+    assert checkpoint(spark, root, "campaigns") == {}
+    assert paged.ingest_pages(spark, root, "campaigns", str(pages), RECORD, dataPath="rows").row_count == 1
+
+
+def test_stream_resumes_behind_its_offset(spark, tmp_path):
+    pages, out, marks = tmp_path / "pages", str(tmp_path / "out"), str(tmp_path / "marks")
+    pages.mkdir()
+
+    def run():
+        query = paged.stream_paged(spark, str(pages), RECORD, groupPages=2).writeStream.format("parquet").option(
+            "checkpointLocation", marks).trigger(processingTime="0 seconds").start(out)
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+        return ids(spark.read.parquet(out))
+
+    page(pages, 0, range(3))
+    page(pages, 1, range(3, 5))
+    assert run() == list(range(5))
+    page(pages, 2, range(5, 9))
+    assert run() == list(range(9))

@@ -350,6 +350,9 @@ QUERIES: dict[str, str] = {
     "page_items": """
         select customer_id, email, updated_at::varchar as updated_at from raw_customers
         where updated_at >= timestamp '1995-01-02' and updated_at < timestamp '1995-01-03'""",
+    "page_ingest": """
+        select customer_id, email, country, updated_at,
+               case when regexp_extract(customer_id, '[0-9]+')::bigint // 500 % 2 = 0 then 1 else 2 end as turn from raw_customers""",
     "landed_and_loaded": " union all ".join(
         f"select '{table}' as table_name, count(*) as row_count, count(distinct {key}) as keys, "
         f"count(*) filter (where is_deleted) as deleted, cast(1 as bigint) as batches from raw_{table}" for table, key in KEYS.items()),
