@@ -113,6 +113,15 @@ def test_rebuild_that_changes_nothing_commits_without_a_swap(gold, mart):
     assert gold.events.entries().where("event_type = 'RECONCILED'").count() == 1
 
 
+def test_a_run_that_changed_nothing_can_be_rolled_back(gold, mart):
+    put(gold, mart, 1, "run-1")
+    second = put(gold, mart, 1, "run-2")
+    gold.rollback(MART, second, "bad numbers", dry_run=False)
+    assert net(gold) == 160
+    assert gold.live(MART).rollback_of == second
+    assert gold.manifest.find(publication_id=second).status == "ROLLED_BACK"
+
+
 def test_drift_of_the_live_table_is_found(gold, mart):
     put(gold, mart, 1, "run-1")
     commerce.stamped(mart(3), MART, F.current_timestamp()).write.mode("overwrite").parquet(gold.live(MART).candidate_path)

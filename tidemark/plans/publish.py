@@ -143,7 +143,9 @@ class Gold:
             if action == "keep":
                 return publication
             if action == "commit":
-                self._enter(fields, "COMMITTED", candidate_path=live_path, production_checksum=live_sum,
+                # A new run whose content is live already goes back to that version, which stands before and after it.
+                before = {} if known else {"previous_path": live_path, "previous_checksum": live_sum}
+                self._enter(fields, "COMMITTED", **before, candidate_path=live_path, production_checksum=live_sum,
                             committed_at=utc_now(), error=None)
                 self._note(publication, "RECONCILED", checksum=live_sum)
                 return publication
