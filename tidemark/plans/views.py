@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.schemas import AUDIT, MONEY, RAW_TABLES
+from tidemark.session import limit_splits
 
 BATCH = "00000000-0000-5000-8000-00000000000"
 CURRENCIES = ("USD", "EUR", "VND")
@@ -38,6 +39,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        limit_splits(spark)
         self.spark, self.folder = spark, folder
         self._open: dict[str, DataFrame] = {}
 
