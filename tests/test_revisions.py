@@ -1,8 +1,10 @@
+import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import packed_digest, unpacked_digest
 from tidemark.operators import revisions
 
 SCHEMA = "k string, source_updated_at long, batch_id string, record_hash string, is_deleted boolean, v int"
@@ -91,3 +93,58 @@ def test_beyond_newest_keeps_three_per_group(spark):
     df = spark.createDataFrame(rows, "g string, name string, at int")
     out = revisions.beyond_newest(df, "g", "name", ("at",)).collect()
     assert sorted(r.name for r in out) == [f"s{i}" for i in range(7)]
+
+
+def _texts():
+    """Digests, and texts that begin like one, end early, go on, or hold characters that sort below, between or above hex digits."""
+    rng = random.Random(3)
+    digests = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(40)] + ["0" * 64, "f" * 64, "0" * 63 + "f", "0" * 62 + "10"]
+    others = ["", " ", "A", "g", "\x00", "é", "😀", "h1", "0" * 63, "f" * 65, "0" * 62 + "0g", "0" * 62 + "1", "12" * 300]
+    for digest in digests:
+        cut = rng.randrange(65)
+        others += [digest[:cut], digest.upper(), digest + "0"]
+        others += [digest[:cut] + mark + digest[cut + rng.randrange(2):] for mark in ("", " ", "-", "/", ":", "A", "F", "`", "g", "~", "é")]
+    return sorted({*digests, *others})
+
+
+def test_packed_digests_sort_as_their_texts_and_can_be_had_back(spark):
+    texts = _texts()
+    rows = [(i, text) for i, text in enumerate(sorted(texts, key=lambda t: t.encode()))] + [(-1, None)]
+    df = spark.createDataFrame(rows, "place int, text string").repartition(4).withColumn("packed", packed_digest("text"))
+    got = df.select("place", "text", "packed", unpacked_digest("packed").alias("back")).orderBy("packed", "place").collect()
+    assert [r.place for r in got] == list(range(-1, len(texts)))
+    assert len({bytes(r.packed) for r in got[1:]}) == len(texts) and got[0].packed is None
+    assert all(r.back == r.text for r in got)
+    assert {len(r.packed) for r in got if r.text and len(r.text) == 64 and set(r.text) <= set("0123456789abcdef")} == {33}
+
+
+def test_hashes_of_any_form_decide_ties_by_their_text(spark):
+    rng = random.Random(5)
+    rows = [(f"k{rng.randrange(60)}", 1, "b", text, False, i) for i, text in enumerate(_texts() * 3)]
+    rows = list({row[:4]: row for row in rows}.values())
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    newest = {}
+    for row in rows:
+        if row[0] not in newest or row[3].encode() > newest[row[0]][3].encode():
+            newest[row[0]] = row
+    assert sorted(tuple(r) for r in revisions.latest_live(df, "k").collect()) == sorted(newest.values())
+    gone = df.withColumn("is_deleted", F.col("v") % 2 == 0)
+    assert {r.k for r in revisions.live_keys(gone, "k").collect()} == {k for k, row in newest.items() if row[5] % 2}
+
+
+def test_record_hashes_are_shuffled_packed(spark):
+    """The 64 digits were most of the bytes that ranking shuffled."""
+    at = F.lit("2024-01-01").cast("timestamp")
+    rows = spark.range(20_000, numPartitions=2).select(
+        F.col("id").cast("string").alias("k"), at.alias("source_updated_at"), F.lit("b").alias("batch_id"),
+        F.sha2(F.col("id").cast("string"), 256).alias("record_hash"), F.lit(False).alias("is_deleted"),
+    )
+    ranked = revisions.latest_live(rows, "k")
+    assert ranked.schema.names == rows.schema.names
+    ranked.collect()
+    plan, sizes = ranked._jdf.queryExecution().executedPlan().executedPlan(), []
+    while plan.children().size() or "QueryStage" in plan.nodeName():
+        plan = plan.plan() if "QueryStage" in plan.nodeName() else plan.children().head()
+        if plan.nodeName() == "Exchange":
+            sizes.append(plan.metrics().apply("shuffleBytesWritten").value())
+    assert len(sizes) == 1 and 0 < sizes[0] < 20_000 * 56

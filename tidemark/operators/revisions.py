@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemark.functions.columns import packed_digest, unpacked_digest
 
 # The order of revisions, newest by these columns. Every operator uses the first one unless told
 # otherwise, so staging and hard-delete detection cannot disagree about ties.
@@ -13,12 +16,17 @@ SOURCE_ORDER = ("source_updated_at", "batch_id", "record_hash")
 LOAD_ORDER = ("source_updated_at", "ingested_at", "record_hash")
 
 _RANK = "_revision_rank"
+_HASH = "record_hash"
 
 
 def _names(columns: str | Sequence[str]) -> list[str]:
     return [columns] if isinstance(columns, str) else list(columns)
 
 
+def _packs(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> bool:
+    return _HASH in order and _HASH not in key and isinstance(df.schema[_HASH].dataType, T.StringType)
+
+
 def key_set(df: DataFrame, key: str) -> DataFrame:
     """The distinct keys of one side of a semi or anti join.
 
@@ -35,10 +43,14 @@ def newest_per_key(
 
     The rank filter sits directly on the window, so Spark limits every group before the shuffle
     as well as after it: a key with a third of all rows sends at most ``keep`` rows per input
-    task. ``order`` has to be total within a key for the result to be repeatable.
+    task. ``order`` has to be total within a key for the result to be repeatable. The record hash is
+    most of the bytes of a row, so it is sorted and shuffled packed.
     """
+    packs = _packs(df, _names(key), order)
+    rows = df.withColumn(_HASH, packed_digest(_HASH)) if packs else df
     window = Window.partitionBy(*_names(key)).orderBy(*[F.col(name).desc() for name in order])
-    return df.withColumn(_RANK, F.row_number().over(window)).where(F.col(_RANK) <= keep).drop(_RANK)
+    newest = rows.withColumn(_RANK, F.row_number().over(window)).where(F.col(_RANK) <= keep).drop(_RANK)
+    return newest.withColumn(_HASH, unpacked_digest(_HASH)) if packs else newest
 
 
 def latest_live(df: DataFrame, key: str | Sequence[str], order: Sequence[str] = SOURCE_ORDER) -> DataFrame:
@@ -51,7 +63,8 @@ def latest_live(df: DataFrame, key: str | Sequence[str], order: Sequence[str] =
 
 def live_keys(df: DataFrame, key: str, order: Sequence[str] = SOURCE_ORDER) -> DataFrame:
     """Keys whose newest flag is not deleted, found by aggregation instead of ranking."""
-    newest_flag = F.max_by("is_deleted", F.struct(*order))
+    packs = _packs(df, [key], order)
+    newest_flag = F.max_by("is_deleted", F.struct(*[packed_digest(n) if packs and n == _HASH else F.col(n) for n in order]))
     return df.groupBy(key).agg(newest_flag.alias("_deleted")).where(~F.col("_deleted")).select(key)
 
 
