@@ -152,3 +152,56 @@ def test_finds_what_the_patterns_miss_and_spares_the_rest(spark):
 def test_tags_of_known_secrets():
     text = 'a token = "abc.def-0123456789" b'
     assert secret_scan.secret_tags(text, base_spans(text)).tolist() == [0, 0, 0, 0, 1, 2, 2, 2, 2, 0, 0]
+
+
+def plain_viterbi(scores, steps):
+    score, back = np.where([True, True, False], scores[0], -1e9), []
+    for row in scores[1:]:
+        ways = score[:, None] + steps
+        back.append(ways.argmax(0))
+        score = ways.max(0) + row
+    tags = [int(score.argmax())]
+    for came in back[::-1]:
+        tags.append(int(came[tags[-1]]))
+    return tags[::-1]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_stretches_decode_as_whole_chains(seed):
+    """Only stretches that can hold a secret are decoded; the tags are those of the whole chains."""
+    draw = np.random.default_rng(seed)
+    sizes = draw.integers(0, 400, 30)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    scores = draw.normal(size=(starts[-1], 3)) * 2 - np.array([0, 6, 6])
+    secret = draw.random(len(scores)) < 0.02
+    scores[secret] += draw.normal(size=(secret.sum(), 1)) + np.array([0, 9, 9])
+    steps = draw.normal(size=(3, 3)) * (1 + seed % 2)
+    model = crf.Model(np.zeros((crf.TABLE, 3)), steps)
+    got = model.tags(scores, starts)
+    want = [tag for low, high in zip(starts[:-1], starts[1:]) if high > low for tag in plain_viterbi(scores[low:high], model.steps)]
+    assert got.tolist() == want and any(want)
+    if seed % 2 == 0:  # steps that differ much leave most tokens open
+        full = np.concatenate([[0], np.cumsum(sizes[sizes > 0])])
+        assert model._open(scores, full).mean() < 0.6
+
+
+def test_types_are_turned_into_arrays_once(monkeypatch):
+    worked = []
+    around = crf._around
+    monkeypatch.setattr(crf, "_around", lambda words: worked.append(len(words)) or around(words))
+    types = crf.Types()
+    model = crf.Model(np.zeros((crf.TABLE, 3)), np.zeros((3, 3)))
+    for text in ("a b c 12", "b c d", "d a"):
+        numbers, starts = secret_scan._tokens(types, [text])
+        model.emissions(types, numbers, starts)
+    assert sum(worked) == len(types.words) == 5
+
+
+def test_has_find_equals_the_patterns(spark):
+    texts = ["", "Passw", "PASSWORD: abcdefghijkl", "passwd='ABCdef123456'", "Api_Key = a1b2c3d4e5f6", "APIKEY:xxxxxxxxxxxx", "apikey abcdefghijkl",
+             "secret=short", "é TOKEN=abcdefghijkl", "to\u212aen=abcdefghijkl", "\u017fecret=abcdefghijkl", "AKIAABCDEFGHIJKLMN", "akiaABCDEFGHIJKLMN",
+             "AKIA123", "0123456789abcdef", "0123456789ABCDEF", "rapid capital", "İsecret=abcdefghijkl"]
+    rules = [re.compile(rule, re.ASCII) for rule, _ in secret_scan._RULES]
+    df = spark.createDataFrame([(text,) for text in texts], "text string")
+    got = df.select("text", secret_scan.has_find(F.col("text")).alias("hit")).collect()
+    assert {r.text: r.hit for r in got} == {text: any(rule.search(text) for rule in rules) for text in texts}

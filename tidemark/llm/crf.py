@@ -71,6 +71,20 @@ class Types(dict):
         self.classes: dict[tuple, int] = {}
         self.own: list[tuple[int, ...]] = []
         self.flags: list[tuple[bool, bool, bool, int]] = []
+        self._arrays = self._no_arrays()
+
+    @staticmethod
+    def _no_arrays() -> tuple[np.ndarray, np.ndarray]:
+        return np.empty(0, np.int64), np.empty((0, AROUND), np.int64)
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        """The class of every type, and its features as a neighbour; only types that are new are worked out."""
+        kinds, near = self._arrays
+        have = len(kinds)
+        if have < len(self.words):
+            self._arrays = (np.concatenate([kinds, np.array(self.class_of[have:], np.int64)]),
+                            np.concatenate([near, _around(np.array(self.words[have:], np.int64))]))
+        return self._arrays
 
     def __missing__(self, token: str) -> int:
         n, word = len(token), token.isalpha()
@@ -99,11 +113,12 @@ class Types(dict):
             self.clear()
             self.class_of.clear()
             self.words.clear()
+            self._arrays = self._no_arrays()
         return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
 
     def flag(self, numbers: np.ndarray, which: int) -> np.ndarray:
         """A flag of every token: word, digits, sign or oddness."""
-        kinds = np.array(self.class_of, np.int64)[numbers]
+        kinds = self.arrays()[0][numbers]
         return np.array([flags[which] for flags in self.flags] or [0])[kinds]
 
 
@@ -136,9 +151,10 @@ def file_features(types: Types, numbers: np.ndarray, starts: np.ndarray) -> np.n
 
 def features(types: Types, numbers: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The feature numbers of every token, one row each."""
-    around = np.concatenate([_around(np.array(types.words, np.int64)), _EDGE[None]])
+    kinds, known = types.arrays()
+    around = np.concatenate([known, _EDGE[None]])
     near = [around[np.where(at < 0, -1, numbers[at]), slot] for slot, at in enumerate(places(starts, types.flag(numbers, WORD)))]
-    own = np.array(types.own)[np.array(types.class_of, np.int64)[numbers]]
+    own = np.array(types.own)[kinds[numbers]]
     return np.concatenate([own, np.stack(near, 1), np.repeat(file_features(types, numbers, starts), np.diff(starts), 0)], 1)
 
 
@@ -154,35 +170,65 @@ class Model:
         w = self.weights
         if not len(numbers):
             return np.zeros((0, 3), np.float32)
-        out = w[np.array(types.own)].sum(1)[np.array(types.class_of, np.int64)[numbers]]
-        known = _around(np.array(types.words, np.int64))
+        kinds, known = types.arrays()
+        out = w[np.array(types.own)].sum(1)[kinds[numbers]]
         for slot, at in enumerate(places(starts, types.flag(numbers, WORD))):
-            near = w[known[:, slot]][numbers[at]]
+            near = w[known[numbers[at], slot]]
             near[at < 0] = w[_EDGE[slot]]
             out += near
         return out + np.repeat(w[file_features(types, numbers, starts)].sum(1), np.diff(starts), 0)
 
+    def _open(self, scores: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Whether each token could be part of a secret: some run around it must not lose against outside.
+
+        A run of n tokens has n + 1 steps, each dearer by ``slack`` at most than one outside. The margin is
+        far above what the sums can be off by.
+        """
+        slack = self.slack / 2
+        gain = (scores[:, 1:].max(1) - scores[:, 0]).astype(np.float64) + slack
+        sizes = np.diff(starts)
+        chain = np.repeat(np.arange(len(sizes)), sizes)
+        upto = np.cumsum(gain)
+        upto -= np.repeat((upto - gain)[starts[:-1]], sizes)
+        apart = 2 * np.abs(upto).max() + np.abs(gain).max() + 1
+        # Chains are set apart by more than any sum, so that a least or largest sum is one of the own chain.
+        low = np.minimum.accumulate(upto - gain - chain * apart) + chain * apart
+        high = np.maximum.accumulate((upto - chain * apart)[::-1])[::-1] + chain * apart
+        return high - low + slack >= -0.01
+
     def tags(self, scores: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The best tags of every chain.
 
         A chain in which no token could win by being part of a secret, even with the dearest steps
-        around it, is outside as a whole; only the others are decoded.
+        around it, is outside as a whole. Of the others the tokens that no run can win with are outside, and
+        the stretches between them are decoded.
         """
         out = np.zeros(len(scores), np.int8)
         gain = scores[:, 1:].max(1) - scores[:, 0] + self.slack
         sizes = np.diff(starts)
         full = np.flatnonzero(sizes)
         hope = full[np.maximum.reduceat(gain, starts[full]) >= 0] if len(full) else full
-        order = hope[np.argsort(-sizes[hope], kind="stable")]
-        if not len(order):
+        if not len(hope):
+            return out
+        own = np.concatenate([[0], np.cumsum(sizes[hope])])
+        rows = np.repeat(starts[hope] - own[:-1], sizes[hope]) + np.arange(own[-1])
+        may = self._open(scores[rows], own)
+        edge = np.zeros(len(rows) + 1, bool)
+        edge[own] = True
+        first = np.flatnonzero(may & (edge[:-1] | ~np.append(False, may[:-1])))
+        final = np.flatnonzero(may & (edge[1:] | ~np.append(may[1:], False))) + 1
+        if not len(first):
             return out
-        begin, length = starts[order], sizes[order]
+        order = np.argsort(first - final, kind="stable")
+        first, final = first[order], final[order]
+        begin, length = rows[first], final - first
         back = np.zeros((int(length.sum()), 3), np.int8)
         place = np.concatenate([[0], np.cumsum(length)[:-1]])
-        score = scores[begin].astype(np.float64)
+        # Outside stands before and after a stretch, unless its chain begins or ends there.
+        score = scores[begin] + np.where(edge[first, None], 0, self.steps[OUTSIDE])
         score[:, INSIDE] = _NEVER
         ends = np.empty_like(score)
-        active = len(order)
+        active = len(begin)
         for t in range(1, int(length[0])):
             still = int(np.searchsorted(-length, -t, "left"))
             ends[still:active] = score[still:active]
@@ -192,7 +238,7 @@ class Model:
             back[place[:still] + t] = choice
             score = np.take_along_axis(ways, choice[:, None], 1)[:, 0] + scores[begin[:still] + t]
         ends[:active] = score
-        tag = ends.argmax(1)
+        tag = (ends + np.where(edge[final, None], 0, self.steps[:, OUTSIDE])).argmax(1)
         for t in range(int(length[0]) - 1, -1, -1):
             still = int(np.searchsorted(-length, -t, "left"))
             out[begin[:still] + t] = tag[:still]

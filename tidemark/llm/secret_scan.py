@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import crf
@@ -24,7 +24,9 @@ HALF_WINDOW = 24
 TAGGED = "tagged"
 _CHARS = 1 << 20
 _ALL_KINDS = (*KINDS, TAGGED)
-_RULES = (r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{12}""", ACCESS.pattern, HEX.pattern)
+# A pattern, and texts one of which it needs; they are looked for first, in lower case.
+_RULES = ((r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{12}""", ("passw", "secret", "token", "apikey", "api_key")),
+          (ACCESS.pattern, ("akia",)), (HEX.pattern, ()))
 
 
 def _tokens(types: crf.Types, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -78,15 +80,24 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({name: pa.array(value, pa.list_(pa.int32())) for name, value in rows.items()})
 
 
+def has_find(text: Column) -> Column:
+    """Whether a pattern finds something in a text; a pattern is tried where a word it needs stands."""
+    found, folded = F.lit(False), F.lower(text)
+    for rule, needs in _RULES:
+        may = F.lit(not needs)
+        for word in needs:
+            may = may | folded.contains(word)
+        found = found | (may & text.rlike(rule))
+    return found
+
+
 def learned(docs: DataFrame, sample: int = SAMPLE) -> crf.Model | None:
     """The field, fitted on at most ``sample`` documents with a pattern's find and as many without.
 
     They are those with the least hashes of id and text. None where no document has a find. The
     driver gets three windows of 48 tokens a document, 3 kB each.
     """
-    hit = F.lit(False)
-    for rule in _RULES:
-        hit = hit | F.col("text").rlike(rule)
+    hit = has_find(F.col("text"))
     order = F.xxhash64("doc_id", "text")
     whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     whole = whole.withColumns({"hit": hit, "order": order})
