@@ -83,3 +83,23 @@ def test_selective_reads_and_layout(spark):
     assert any("DICTIONARY" in e for e in column["tokens.list.element"].encodings)
     assert "DELTA_BINARY_PACKED" in column["start"].encodings
     assert column["doc_id"].has_column_index and column["doc_id"].has_offset_index
+
+
+def test_a_worker_keeps_pieces_over_its_tasks(monkeypatch):
+    """A second task of a worker encodes no piece anew that the first one met twice; its ids are the same."""
+    class Task:
+        partitionId = staticmethod(lambda: 0)
+
+    sizes, long = [], "y1" * 5000
+    learn = to.KnownPieces.learn
+    monkeypatch.setattr(to.TaskContext, "get", lambda: Task)
+    monkeypatch.setattr(to.KnownPieces, "learn", lambda self, hashes, *rest: sizes.append(len(hashes)) or learn(self, hashes, *rest))
+    to._known_pieces.cache_clear()
+    texts = ["one two two three", None, "", f" {long} {long} one two <|endoftext|>", " four three"] * 2
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    encode = to._encode(PATH, to.END, False)
+    first, second = ([out.to_pydict() for out in encode(iter([batch]))] for _ in range(2))
+    known = to._known_pieces(PATH, False)
+    assert first == second and sizes[0] > 2 and sizes[1] <= 2  # the long piece is not kept
+    assert known.count.max() <= to.KNOWN_IDS and known is not to._known_pieces(PATH, True)
+    to._known_pieces.cache_clear()

@@ -7,8 +7,8 @@ sizes and every file has page indexes, so a reader of some documents or of the m
 skips the rest.
 
 Pieces of text between places where the tokenizer can join nothing repeat often, so each distinct piece
-of a run of documents is encoded once, and a task keeps the ids of a bounded number of pieces that came more
-than once for its later runs; ids are then put together per document.
+of a run of documents is encoded once, and a worker keeps the ids of a bounded number of pieces that came more
+than once for its later runs and tasks; ids are then put together per document.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ END = 2
 PIECE_BYTES = 8 << 20
 GROUP_PIECES = 1000
 KNOWN_PIECES = 1 << 18
+KNOWN_IDS = 32
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 
@@ -71,7 +72,10 @@ def piece_bounds(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 class KnownPieces:
-    """The ids of pieces that came more than once, found by the hash of their bytes; at most ``most`` pieces."""
+    """The ids of pieces that came more than once, found by the hash of their bytes.
+
+    There are at most ``most`` pieces, of ``KNOWN_IDS`` ids at most; longer ones are encoded again in each run.
+    """
 
     def __init__(self, most: int = KNOWN_PIECES):
         self.most, self.hashes, self.tokens = most, np.empty(0, np.uint64), np.empty(0, np.int32)
@@ -86,17 +90,26 @@ class KnownPieces:
 
     def learn(self, hashes: np.ndarray, tokens: np.ndarray, begin: np.ndarray, count: np.ndarray) -> None:
         """Keep new pieces while there is room; ``begin`` and ``count`` say where in ``tokens`` their ids are."""
-        room = self.most - len(self.hashes)
+        room, short = self.most - len(self.hashes), count <= KNOWN_IDS
+        hashes, begin, count = hashes[short], begin[short], count[short]
         hashes, begin, count = hashes[:room], begin[:room], count[:room]
         if not len(hashes):
             return
         upto = np.cumsum(count)
         own = tokens[np.repeat(begin - upto + count, count) + np.arange(upto[-1])]
         order = np.argsort(np.concatenate([self.hashes, hashes]))
-        self.begin = np.concatenate([self.begin, len(self.tokens) + upto - count])[order]
-        self.count = np.concatenate([self.count, count])[order]
-        self.hashes = np.concatenate([self.hashes, hashes])[order]
-        self.tokens = np.concatenate([self.tokens, own])
+        begin = np.concatenate([self.begin, len(self.tokens) + upto - count])[order]
+        count = np.concatenate([self.count, count])[order]
+        hashes = np.concatenate([self.hashes, hashes])[order]
+        tokens = np.concatenate([self.tokens, own])
+        # All at once, as the pieces may outlive a task that fails.
+        self.begin, self.count, self.hashes, self.tokens = begin, count, hashes, tokens
+
+
+@lru_cache(maxsize=2)
+def _known_pieces(path: str, specials_are_text: bool) -> KnownPieces:
+    """The pieces a worker knows under one tokenizer; ids do not depend on what is known."""
+    return KnownPieces()
 
 
 def encode_column(column: pa.Array, path: str, specials_are_text: bool = False,
@@ -156,7 +169,7 @@ def encode_column(column: pa.Array, path: str, specials_are_text: bool = False,
 
 def _encode(path: str, end: int, specials_are_text: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, placed, known = TaskContext.get().partitionId(), 0, KnownPieces()
+        shard, placed, known = TaskContext.get().partitionId(), 0, _known_pieces(path, specials_are_text)
         for piece in kernels.pieces(batches, "text", PIECE_BYTES):
             ids, bounds = encode_column(piece.column("text"), path, specials_are_text, known)
             rows = piece.num_rows
