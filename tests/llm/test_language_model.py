@@ -1,4 +1,5 @@
 import math
+import sys
 import zlib
 from collections import Counter
 
@@ -129,3 +130,48 @@ def test_rarer_words_have_classes_of_their_own():
     inside = np.where(rest, 0, one + np.log(10) * v.within)
     share = np.exp(one[rest][0])
     assert np.exp(inside[~rest]).sum() + share == pytest.approx(1, abs=1e-3)
+
+
+def test_learning_takes_the_step_of_the_whole_gradient_once():
+    """A learner's step equals Adagrad over all weights; numbers no token has do not move."""
+    draw = np.random.default_rng(5)
+    document = draw.integers(0, recurrent.NUMBERS, 20)
+    counts = np.arange(9000, 9000 - recurrent.WORDS, -1)
+    learner, weights = recurrent.Learner(recurrent.start(counts, 1000)), recurrent.start(counts, 1000)
+    learner.learn([document])
+    gradient, _ = recurrent._window_gradient(weights, np.zeros((1, recurrent.STATE), np.float32), document[:, None], np.ones((20, 1), bool))
+    for value, change, moved in zip(weights.arrays(), gradient.arrays(), learner.w.arrays(), strict=True):
+        assert moved == pytest.approx(value - learner.rate * change / (np.abs(change) + 1e-6), abs=1e-6)
+    unread = np.setdiff1d(np.arange(recurrent.NUMBERS), document)
+    assert (learner.w.words[unread] == weights.words[unread]).all()
+
+
+def test_log_probability_holds_for_steep_logits():
+    draw = np.random.default_rng(6)
+    weights = recurrent.start(np.arange(9000, 9000 - recurrent.WORDS, -1), 1000)
+    states = (draw.standard_normal((50, recurrent.STATE)) * 400).astype(np.float32)
+    weights.to_class *= 50
+    tokens = draw.integers(0, recurrent.NUMBERS, 50)
+    found = recurrent.log_probability(weights, states, tokens)
+    exact = recurrent.Weights(*[x.astype(np.float64) for x in weights.arrays()])
+    assert np.isfinite(found).all() and (found <= 1e-6).all()
+    assert found == pytest.approx(recurrent.log_probability(exact, states.astype(np.float64), tokens), rel=1e-4, abs=1e-2)
+
+
+def test_a_window_takes_few_calls():
+    """Classes are small, so what a window costs follows the calls into numpy more than the numbers."""
+    draw = np.random.default_rng(7)
+    weights = recurrent.start(np.arange(9000, 9000 - recurrent.WORDS, -1), 1000)
+    tokens, state = draw.integers(0, recurrent.WORDS, (20, 64)), np.zeros((64, recurrent.STATE), np.float32)
+    calls = 0
+
+    def count(frame, event, argument):
+        nonlocal calls
+        calls += event == "c_call"
+
+    sys.setprofile(count)
+    try:
+        recurrent._window_gradient(weights, state, tokens, np.ones((20, 64), bool))
+    finally:
+        sys.setprofile(None)
+    assert calls < 300

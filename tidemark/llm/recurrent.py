@@ -22,6 +22,8 @@ NUMBERS = WORDS + 1 + BANDS
 STATE = 24
 INPUT = 16
 ABSENT = -30.0
+BLOCK = 4096  # tokens whose logits stay in a core's cache
+SAFE = 60.0  # exponents up to it neither overflow nor vanish in float32
 
 
 @dataclass
@@ -84,11 +86,34 @@ def _classes(tokens: np.ndarray) -> np.ndarray:
     return np.where(tokens < WORDS, tokens // CLASS_WORDS, tokens - WORDS + CLASSES)
 
 
-def _class_slices(classes: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """(class, rows) of each class of single words."""
+def _by_class(classes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The rows of classes of single words, class after class, and where each class (number, start, end) stands among them."""
     order = np.argsort(classes, kind="stable")
     edges = np.searchsorted(classes[order], np.arange(CLASSES + 1))
-    return [(k, order[edges[k]:edges[k + 1]]) for k in range(CLASSES) if edges[k] < edges[k + 1]]
+    spans = zip(range(CLASSES), edges[:-1].tolist(), edges[1:].tolist(), strict=True)
+    return order[:edges[-1]], [span for span in spans if span[1] < span[2]]
+
+
+def _shift(logits: np.ndarray) -> None:
+    """Move each row into the range of exponents, in place; rows that are there stay as they are."""
+    if logits.size and not (logits.max() < SAFE and logits.min() > -SAFE):
+        logits -= logits.max(axis=1, keepdims=True)
+
+
+def _row_sums(values: np.ndarray) -> np.ndarray:
+    """Sums of the rows, up to rounding that depends on where a row stands."""
+    return values @ np.ones(values.shape[1], values.dtype)
+
+
+def _word_logits(w: Weights, own: np.ndarray, spans: list[tuple[int, int, int]]) -> np.ndarray:
+    """Of states that stand class after class, the logits of the words of their class."""
+    inner = np.empty((len(own), CLASS_WORDS), np.result_type(own, w.to_word))
+    words, bias = w.to_word.reshape(CLASSES, CLASS_WORDS, STATE), w.word_bias.reshape(CLASSES, CLASS_WORDS)
+    for k, low, high in spans:
+        part = inner[low:high]
+        np.dot(own[low:high], words[k].T, out=part)
+        part += bias[k]
+    return inner
 
 
 def log_probability(w: Weights, states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
@@ -96,16 +121,14 @@ def log_probability(w: Weights, states: np.ndarray, tokens: np.ndarray) -> np.nd
     classes = _classes(tokens)
     logits = states @ w.to_class
     logits += w.class_bias
-    logits -= logits.max(axis=1, keepdims=True)
+    _shift(logits)
     out = logits[np.arange(len(tokens)), classes].astype(np.float64)
     out -= np.log(np.exp(logits, out=logits).sum(axis=1))
-    for k, rows in _class_slices(classes):
-        low = k * CLASS_WORDS
-        inner = states[rows] @ w.to_word[low:low + CLASS_WORDS].T
-        inner += w.word_bias[low:low + CLASS_WORDS]
-        inner -= inner.max(axis=1, keepdims=True)
-        out[rows] += inner[np.arange(len(rows)), tokens[rows] - low]
-        out[rows] -= np.log(np.exp(inner, out=inner).sum(axis=1))
+    rows, spans = _by_class(classes)
+    inner = _word_logits(w, states[rows], spans)
+    _shift(inner)
+    found = inner[np.arange(len(rows)), tokens[rows] % CLASS_WORDS].astype(np.float64)
+    out[rows] += found - np.log(np.exp(inner, out=inner).sum(axis=1))
     return out
 
 
@@ -114,7 +137,8 @@ def score(w: Weights, documents: list[np.ndarray], width: int = 512, window: int
     total = np.zeros(len(documents))
     lengths = np.array([len(d) for d in documents], np.int64)
     order = np.argsort(-lengths, kind="stable")
-    inputs = w.words @ w.read + w.read_bias
+    inputs = np.split(w.words @ w.read + w.read_bias, 3, axis=1)
+    inputs, keep = [np.ascontiguousarray(x) for x in inputs], [np.ascontiguousarray(x) for x in np.split(w.keep, 3, axis=1)]
     for low in range(0, len(order), width):
         group = order[low:low + width]
         sizes = lengths[group]
@@ -130,70 +154,124 @@ def score(w: Weights, documents: list[np.ndarray], width: int = 512, window: int
             state = state[:active]
             for step in range(steps):
                 states[step] = state
-                read, kept = inputs[tokens[step]], state @ w.keep
-                gates = _sigmoid(read[:, :2 * STATE] + kept[:, :2 * STATE])
-                fresh = np.tanh(read[:, 2 * STATE:] + gates[:, STATE:] * kept[:, 2 * STATE:])
-                state = fresh + gates[:, :STATE] * (state - fresh)
+                update, reset, fresh = (x.take(tokens[step], axis=0) for x in inputs)
+                update += state @ keep[0]
+                reset += state @ keep[1]
+                kept = state @ keep[2]
+                kept *= _sigmoid(reset)
+                fresh += kept
+                np.tanh(fresh, out=fresh)
+                state = state - fresh
+                state *= _sigmoid(update)
+                state += fresh
             real = np.arange(begin, begin + steps)[:, None] < sizes[None, :active]
-            found = log_probability(w, states[real], tokens[real])
-            total[group[:active]] += np.bincount(np.nonzero(real)[1], found, active)
+            hidden, target, place = states[real], tokens[real], np.nonzero(real)[1]
+            for first in range(0, len(target), BLOCK):
+                rows = slice(first, first + BLOCK)
+                total[group[:active]] += np.bincount(place[rows], log_probability(w, hidden[rows], target[rows]), active)
     return total
 
 
 def _window_gradient(w: Weights, state: np.ndarray, tokens: np.ndarray, real: np.ndarray) -> tuple[Weights, np.ndarray]:
-    """The gradient of one window's loss per token, and the state after it."""
+    """The gradient of one window's loss per token, and the state after it.
+
+    Within the window a step's arrays are turned, one row per unit, so that the parts of a gate lie together.
+    """
     steps, width = tokens.shape
-    states = np.empty((steps, width, STATE), np.float32)
-    gates = np.empty((steps, width, 2 * STATE), np.float32)
-    fresh, kept_part = np.empty_like(states), np.empty_like(states)
-    inputs = w.words[tokens] @ w.read + w.read_bias
+    states, fresh = np.empty((2, steps, STATE, width), np.float32)
+    gates, kept = np.empty((steps, 2 * STATE, width), np.float32), np.empty((steps, 3 * STATE, width), np.float32)
+    vectors = w.words.take(tokens.reshape(-1), axis=0).reshape(steps, width, INPUT).transpose(0, 2, 1)
+    inputs = np.matmul(w.read.T, vectors)
+    inputs += w.read_bias[:, None]
+    keep, state = np.ascontiguousarray(w.keep.T), np.ascontiguousarray(state.T)
     for step in range(steps):
         states[step] = state
-        kept = state @ w.keep
-        gates[step] = _sigmoid(inputs[step, :, :2 * STATE] + kept[:, :2 * STATE])
-        kept_part[step] = kept[:, 2 * STATE:]
-        fresh[step] = np.tanh(inputs[step, :, 2 * STATE:] + gates[step, :, STATE:] * kept_part[step])
-        state = fresh[step] + gates[step, :, :STATE] * (state - fresh[step])
+        gate, new, through = gates[step], fresh[step], kept[step]
+        np.dot(keep, state, out=through)
+        np.add(inputs[step, :2 * STATE], through[:2 * STATE], out=gate)
+        _sigmoid(gate)
+        np.multiply(gate[STATE:], through[2 * STATE:], out=new)
+        new += inputs[step, 2 * STATE:]
+        np.tanh(new, out=new)
+        state = state - new
+        state *= gate[:STATE]
+        state += new
     g = w.zeros()
-    hidden, target = states[real], tokens[real]
+    hidden, target = states.transpose(0, 2, 1)[real], tokens[real]
     classes, scale = _classes(target), np.float32(1 / max(len(target), 1))
-    logits = hidden @ w.to_class + w.class_bias
-    share = np.exp(logits - logits.max(axis=1, keepdims=True))
-    share /= share.sum(axis=1, keepdims=True)
-    share[np.arange(len(target)), classes] -= 1
-    share *= scale
-    g.to_class += hidden.T @ share
+    share = hidden @ w.to_class
+    share += w.class_bias
+    _shift(share)
+    np.exp(share, out=share)
+    share *= (scale / _row_sums(share))[:, None]
+    share[np.arange(len(target)), classes] -= scale
+    np.dot(hidden.T, share, out=g.to_class)
     g.class_bias += share.sum(axis=0)
     back = share @ w.to_class.T
-    for k, rows in _class_slices(classes):
-        low = k * CLASS_WORDS
+    rows, spans = _by_class(classes)
+    if spans:
         own = hidden[rows]
-        inner = own @ w.to_word[low:low + CLASS_WORDS].T + w.word_bias[low:low + CLASS_WORDS]
-        inner = np.exp(inner - inner.max(axis=1, keepdims=True))
-        inner /= inner.sum(axis=1, keepdims=True)
-        inner[np.arange(len(rows)), target[rows] - low] -= 1
-        inner *= scale
-        g.to_word[low:low + CLASS_WORDS] += inner.T @ own
-        g.word_bias[low:low + CLASS_WORDS] += inner.sum(axis=0)
-        back[rows] += inner @ w.to_word[low:low + CLASS_WORDS]
-    outer = np.zeros_like(states)
+        inner = _word_logits(w, own, spans)
+        _shift(inner)
+        np.exp(inner, out=inner)
+        inner *= (scale / _row_sums(inner))[:, None]
+        inner[np.arange(len(rows)), target[rows] % CLASS_WORDS] -= scale
+        own_back = np.empty_like(own)
+        words, g_words, g_bias = (x.reshape(CLASSES, CLASS_WORDS, -1) for x in (w.to_word, g.to_word, g.word_bias))
+        for k, low, high in spans:
+            part = inner[low:high]
+            np.dot(part.T, own[low:high], out=g_words[k])
+            np.dot(part, words[k], out=own_back[low:high])
+        g_bias[[k for k, _, _ in spans], :, 0] = np.add.reduceat(inner, [low for _, low, _ in spans], axis=0)
+        back[rows] += own_back
+    outer = np.zeros((steps, width, STATE), np.float32)
     outer[real] = back
-    d_inputs = np.empty_like(inputs)
-    d_state = np.zeros((width, STATE), np.float32)  # truncated: nothing comes back from the next window
+    outer = np.ascontiguousarray(outer.transpose(0, 2, 1))
+    # What does not depend on the gradient of the state is worked out for all steps at once.
+    update, reset = gates[:, :STATE], gates[:, STATE:]
+    by_update = states - fresh
+    by_update *= update
+    by_fresh = 1 - update
+    by_update *= by_fresh
+    fresh *= fresh
+    by_fresh *= np.subtract(1, fresh, out=fresh)
+    by_reset = kept[:, 2 * STATE:] * reset
+    by_reset *= 1 - reset
+    slopes = np.empty((steps, 4 * STATE, width), np.float32)  # of update gate, reset gate, kept part and candidate
+    d_state = np.zeros((STATE, width), np.float32)  # truncated: nothing comes back from the next window
     for step in range(steps - 1, -1, -1):
-        update, reset = gates[step, :, :STATE], gates[step, :, STATE:]
-        d_fresh = d_state * (1 - update) * (1 - fresh[step] ** 2)
-        d_update = d_state * (states[step] - fresh[step]) * update * (1 - update)
-        d_reset = d_fresh * kept_part[step] * reset * (1 - reset)
-        d_inputs[step] = np.concatenate([d_update, d_reset, d_fresh], axis=1)
-        d_kept = np.concatenate([d_update, d_reset, d_fresh * reset], axis=1)
-        g.keep += states[step].T @ d_kept
-        d_state = d_state * update + d_kept @ w.keep.T + outer[step]
-    flat = d_inputs.reshape(-1, 3 * STATE)
-    g.read += w.words[tokens.reshape(-1)].T @ flat
-    g.read_bias += flat.sum(axis=0)
-    np.add.at(g.words, tokens.reshape(-1), flat @ w.read.T)
-    return g, state
+        slope = slopes[step]
+        d_fresh = slope[3 * STATE:]
+        np.multiply(d_state, by_fresh[step], out=d_fresh)
+        np.multiply(d_state, by_update[step], out=slope[:STATE])
+        np.multiply(d_fresh, by_reset[step], out=slope[STATE:2 * STATE])
+        np.multiply(d_fresh, reset[step], out=slope[2 * STATE:3 * STATE])
+        d_state *= update[step]
+        d_state += w.keep @ slope[:3 * STATE]
+        d_state += outer[step]
+    turned = slopes.transpose(0, 2, 1)
+    g.keep += np.matmul(states, turned[:, :, :3 * STATE]).sum(axis=0)
+    of_input = np.delete(np.arange(4 * STATE), np.s_[2 * STATE:3 * STATE])
+    g.read += np.matmul(vectors, turned).sum(axis=0)[:, of_input]
+    g.read_bias += slopes.sum(axis=(0, 2))[of_input]
+    read = np.zeros((4 * STATE, INPUT), np.float32)
+    read[of_input] = w.read.T
+    order = np.argsort(tokens, axis=None, kind="stable")
+    ordered = tokens.reshape(-1)[order]
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    g.words[ordered[starts]] = np.add.reduceat(np.matmul(turned, read).reshape(-1, INPUT)[order], starts, axis=0)
+    return g, np.ascontiguousarray(state.T)
+
+
+def _descend(value: np.ndarray, square: np.ndarray, change: np.ndarray, rate: float) -> None:
+    """One Adagrad step, in place."""
+    step = change * change
+    square += step
+    np.sqrt(square, out=step)
+    step += 1e-6
+    np.divide(change, step, out=step)
+    step *= rate
+    value -= step
 
 
 class Learner:
@@ -219,7 +297,13 @@ class Learner:
                     tokens[:len(part), column] = part
                 real = np.arange(begin, begin + steps)[:, None] < sizes[None, :active]
                 gradient, state = _window_gradient(self.w, state[:active], tokens, real)
-                for value, square, change in zip(self.w.arrays(), self.squares.arrays(), gradient.arrays(), strict=True):
-                    square += change * change
-                    value -= self.rate * change / (np.sqrt(square) + 1e-6)
+                read = np.flatnonzero(np.bincount(tokens.reshape(-1), minlength=NUMBERS))
+                for f in fields(Weights):
+                    parts = [getattr(x, f.name) for x in (self.w, self.squares, gradient)]
+                    if f.name == "words":  # words that were not read have no gradient, and nothing of theirs moves
+                        value, square, change = (x[read] for x in parts)
+                        _descend(value, square, change, self.rate)
+                        parts[0][read], parts[1][read] = value, square
+                    else:
+                        _descend(*parts, self.rate)
                 self.seen += int(real.sum())
