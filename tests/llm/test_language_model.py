@@ -175,3 +175,24 @@ def test_a_window_takes_few_calls():
     finally:
         sys.setprofile(None)
     assert calls < 300
+
+
+def test_a_step_leaves_out_classes_without_a_token(monkeypatch):
+    """The end of a long text is learned alone, a few tokens at a time; each step moved the vectors of all words."""
+    moved, descend = [], recurrent._descend
+
+    def counted(value, *others):
+        moved.append(value.size)
+        descend(value, *others)
+
+    monkeypatch.setattr(recurrent, "_descend", counted)
+    learner = recurrent.Learner(recurrent.start(np.arange(9000, 9000 - recurrent.WORDS, -1), 1000))
+    learner.learn([np.random.default_rng(8).integers(0, 4 * recurrent.CLASS_WORDS, 20)])
+    assert sum(moved) < recurrent.WORDS * recurrent.STATE / 4
+
+
+def test_texts_of_a_window_stand_as_in_the_documents():
+    documents = [np.arange(n) + 100 * n for n in (5, 1, 0, 9)]
+    tokens, real = recurrent._Texts(documents).window(np.array([3, 0, 1]), 4, 3)
+    assert tokens.T.tolist() == [[904, 905, 906], [504, recurrent.REST, recurrent.REST], [recurrent.REST] * 3]
+    assert real.T.tolist() == [[True] * 3, [True, False, False], [False] * 3]

@@ -22,6 +22,8 @@ NUMBERS = WORDS + 1 + BANDS
 STATE = 24
 INPUT = 16
 ABSENT = -30.0
+FEW_CLASSES = 16  # up to so many, classes are moved one by one
+PART = 1 << 14  # weights whose step stays in a core's cache
 BLOCK = 4096  # tokens whose logits stay in a core's cache
 SAFE = 60.0  # exponents up to it neither overflow nor vanish in float32
 
@@ -52,6 +54,11 @@ class Weights:
             at += x.size
         return Weights(*parts)
 
+    def over(self, flat: np.ndarray) -> Weights:
+        """The same shapes over one array, without a copy."""
+        ends = np.cumsum([x.size for x in self.arrays()])
+        return Weights(*[part.reshape(x.shape) for part, x in zip(np.split(flat, ends[:-1]), self.arrays(), strict=True)])
+
     def zeros(self) -> Weights:
         return Weights(*[np.zeros_like(x) for x in self.arrays()])
 
@@ -75,8 +82,8 @@ def start(counts: np.ndarray, rest: int, bands: np.ndarray | None = None) -> Wei
                    word_bias.reshape(-1).astype(np.float32))
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.negative(x, out=x)
+def _gate(x: np.ndarray) -> np.ndarray:
+    """The logistic function of ``-x``, in place; the weights of gates are negated once instead of every step."""
     np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
@@ -88,8 +95,8 @@ def _classes(tokens: np.ndarray) -> np.ndarray:
 
 def _by_class(classes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """The rows of classes of single words, class after class, and where each class (number, start, end) stands among them."""
-    order = np.argsort(classes, kind="stable")
-    edges = np.searchsorted(classes[order], np.arange(CLASSES + 1))
+    order = np.argsort(classes.astype(np.uint8), kind="stable")  # short numbers are sorted by their digits
+    edges = np.concatenate([[0], np.cumsum(np.bincount(classes, minlength=CLASSES)[:CLASSES])])
     spans = zip(range(CLASSES), edges[:-1].tolist(), edges[1:].tolist(), strict=True)
     return order[:edges[-1]], [span for span in spans if span[1] < span[2]]
 
@@ -132,13 +139,32 @@ def log_probability(w: Weights, states: np.ndarray, tokens: np.ndarray) -> np.nd
     return out
 
 
+class _Texts:
+    """Documents in one array, so that a window over many of them is taken by one call."""
+
+    def __init__(self, documents: list[np.ndarray]):
+        self.lengths = np.array([len(d) for d in documents], np.int64)
+        self.first = np.cumsum(self.lengths) - self.lengths
+        self.tokens = np.concatenate([np.empty(0, np.int64), *documents])
+
+    def window(self, group: np.ndarray, begin: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens by step and document from place ``begin`` on, and which of them the documents hold."""
+        places = np.arange(begin, begin + steps)[:, None]
+        real = places < self.lengths[group]
+        tokens = self.tokens.take(places + self.first[group], mode="clip")
+        tokens[~real] = REST
+        return tokens, real
+
+
 def score(w: Weights, documents: list[np.ndarray], width: int = 512, window: int = 64) -> np.ndarray:
     """Log probability of every whole document, its state carried from window to window."""
     total = np.zeros(len(documents))
-    lengths = np.array([len(d) for d in documents], np.int64)
+    texts = _Texts(documents)
+    lengths = texts.lengths
     order = np.argsort(-lengths, kind="stable")
-    inputs = np.split(w.words @ w.read + w.read_bias, 3, axis=1)
-    inputs, keep = [np.ascontiguousarray(x) for x in inputs], [np.ascontiguousarray(x) for x in np.split(w.keep, 3, axis=1)]
+    signs = np.repeat(np.float32([-1, -1, 1]), STATE)
+    inputs = np.split((w.words @ w.read + w.read_bias) * signs, 3, axis=1)
+    inputs, keep = [np.ascontiguousarray(x) for x in inputs], [np.ascontiguousarray(x) for x in np.split(w.keep * signs, 3, axis=1)]
     for low in range(0, len(order), width):
         group = order[low:low + width]
         sizes = lengths[group]
@@ -146,10 +172,7 @@ def score(w: Weights, documents: list[np.ndarray], width: int = 512, window: int
         for begin in range(0, int(sizes[0]), window):
             active = int(np.searchsorted(-sizes, -begin, "left"))  # the documents that reach this window stand first
             steps = min(window, int(sizes[0]) - begin)
-            tokens = np.full((steps, active), REST, np.int64)
-            for column in range(active):
-                part = documents[group[column]][begin:begin + steps]
-                tokens[:len(part), column] = part
+            tokens, real = texts.window(group[:active], begin, steps)
             states = np.empty((steps, active, STATE), np.float32)
             state = state[:active]
             for step in range(steps):
@@ -158,13 +181,12 @@ def score(w: Weights, documents: list[np.ndarray], width: int = 512, window: int
                 update += state @ keep[0]
                 reset += state @ keep[1]
                 kept = state @ keep[2]
-                kept *= _sigmoid(reset)
+                kept *= _gate(reset)
                 fresh += kept
                 np.tanh(fresh, out=fresh)
                 state = state - fresh
-                state *= _sigmoid(update)
+                state *= _gate(update)
                 state += fresh
-            real = np.arange(begin, begin + steps)[:, None] < sizes[None, :active]
             hidden, target, place = states[real], tokens[real], np.nonzero(real)[1]
             for first in range(0, len(target), BLOCK):
                 rows = slice(first, first + BLOCK)
@@ -172,31 +194,34 @@ def score(w: Weights, documents: list[np.ndarray], width: int = 512, window: int
     return total
 
 
-def _window_gradient(w: Weights, state: np.ndarray, tokens: np.ndarray, real: np.ndarray) -> tuple[Weights, np.ndarray]:
+def _window_gradient(
+    w: Weights, state: np.ndarray, tokens: np.ndarray, real: np.ndarray, g: Weights | None = None
+) -> tuple[Weights, np.ndarray]:
     """The gradient of one window's loss per token, and the state after it.
 
-    Within the window a step's arrays are turned, one row per unit, so that the parts of a gate lie together.
+    It goes into ``g``, where vectors of words must be zero; those of words that have no part in it are left so. Within the window a step's arrays are turned, one row per unit, so that the parts of a gate lie together.
     """
     steps, width = tokens.shape
     states, fresh = np.empty((2, steps, STATE, width), np.float32)
     gates, kept = np.empty((steps, 2 * STATE, width), np.float32), np.empty((steps, 3 * STATE, width), np.float32)
     vectors = w.words.take(tokens.reshape(-1), axis=0).reshape(steps, width, INPUT).transpose(0, 2, 1)
-    inputs = np.matmul(w.read.T, vectors)
-    inputs += w.read_bias[:, None]
-    keep, state = np.ascontiguousarray(w.keep.T), np.ascontiguousarray(state.T)
+    signs = np.repeat(np.float32([-1, -1, 1]), STATE)
+    inputs = np.matmul((w.read * signs).T, vectors)
+    inputs += (w.read_bias * signs)[:, None]
+    keep, state = np.ascontiguousarray((w.keep * signs).T), np.ascontiguousarray(state.T)
     for step in range(steps):
         states[step] = state
         gate, new, through = gates[step], fresh[step], kept[step]
         np.dot(keep, state, out=through)
         np.add(inputs[step, :2 * STATE], through[:2 * STATE], out=gate)
-        _sigmoid(gate)
+        _gate(gate)
         np.multiply(gate[STATE:], through[2 * STATE:], out=new)
         new += inputs[step, 2 * STATE:]
         np.tanh(new, out=new)
         state = state - new
         state *= gate[:STATE]
         state += new
-    g = w.zeros()
+    g = w.zeros() if g is None else g
     hidden, target = states.transpose(0, 2, 1)[real], tokens[real]
     classes, scale = _classes(target), np.float32(1 / max(len(target), 1))
     share = hidden @ w.to_class
@@ -206,7 +231,7 @@ def _window_gradient(w: Weights, state: np.ndarray, tokens: np.ndarray, real: np
     share *= (scale / _row_sums(share))[:, None]
     share[np.arange(len(target)), classes] -= scale
     np.dot(hidden.T, share, out=g.to_class)
-    g.class_bias += share.sum(axis=0)
+    np.sum(share, axis=0, out=g.class_bias)
     back = share @ w.to_class.T
     rows, spans = _by_class(classes)
     if spans:
@@ -250,22 +275,23 @@ def _window_gradient(w: Weights, state: np.ndarray, tokens: np.ndarray, real: np
         d_state += w.keep @ slope[:3 * STATE]
         d_state += outer[step]
     turned = slopes.transpose(0, 2, 1)
-    g.keep += np.matmul(states, turned[:, :, :3 * STATE]).sum(axis=0)
-    of_input = np.delete(np.arange(4 * STATE), np.s_[2 * STATE:3 * STATE])
-    g.read += np.matmul(vectors, turned).sum(axis=0)[:, of_input]
-    g.read_bias += slopes.sum(axis=(0, 2))[of_input]
+    np.sum(np.matmul(states, turned[:, :, :3 * STATE]), axis=0, out=g.keep)
+    of_input = np.r_[:2 * STATE, 3 * STATE:4 * STATE]
+    g.read[:] = np.matmul(vectors, turned).sum(axis=0)[:, of_input]
+    g.read_bias[:] = slopes.sum(axis=(0, 2))[of_input]
     read = np.zeros((4 * STATE, INPUT), np.float32)
     read[of_input] = w.read.T
-    order = np.argsort(tokens, axis=None, kind="stable")
-    ordered = tokens.reshape(-1)[order]
+    ordered = tokens.reshape(-1).astype(np.uint16)
+    order = np.argsort(ordered, kind="stable")
+    ordered = ordered[order]
     starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     g.words[ordered[starts]] = np.add.reduceat(np.matmul(turned, read).reshape(-1, INPUT)[order], starts, axis=0)
     return g, np.ascontiguousarray(state.T)
 
 
-def _descend(value: np.ndarray, square: np.ndarray, change: np.ndarray, rate: float) -> None:
-    """One Adagrad step, in place."""
-    step = change * change
+def _descend(value: np.ndarray, square: np.ndarray, change: np.ndarray, rate: float, step: np.ndarray) -> None:
+    """One Adagrad step, in place; ``step`` is room for it."""
+    np.multiply(change, change, out=step)
     square += step
     np.sqrt(square, out=step)
     step += 1e-6
@@ -278,32 +304,49 @@ class Learner:
     """Adagrad over truncated windows; documents of similar length share a batch."""
 
     def __init__(self, weights: Weights, rate: float = 0.05):
-        self.w, self.rate, self.seen = weights, rate, 0
-        self.squares = weights.zeros()
+        self.rate, self.seen = rate, 0
+        flat = weights.flat()
+        gradient, squares = np.zeros((2, len(flat)), np.float32)
+        self.w, self.gradient, self.squares = (weights.over(x) for x in (flat, gradient, squares))
+        self.room = np.empty(PART, np.float32)
+
+        def parts(low: int, high: int, size: int) -> list[tuple[np.ndarray, ...]]:
+            """Parts of the weights that stand one after the other, each small enough to stay in a core's cache."""
+            edges = [*range(low, high, size), high]
+            return [(*(x[a:b] for x in (flat, squares, gradient)), self.room[:b - a]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+        end = len(flat) - self.w.word_bias.size
+        first = end - self.w.to_word.size
+        self.common = [*parts(self.w.words.size, first, PART), *parts(end, len(flat), PART)]
+        self.output, self.by_class = parts(first, end, PART), parts(first, end, CLASS_WORDS * STATE)
+
+    def _step(self, tokens: np.ndarray) -> None:
+        """Move the weights. Words not read, and classes without a token, have no gradient, and nothing of theirs moves."""
+        counts = np.bincount(tokens.reshape(-1), minlength=NUMBERS)
+        present = np.flatnonzero(counts[:WORDS].reshape(CLASSES, CLASS_WORDS).any(axis=1))
+        output = self.output if len(present) > FEW_CLASSES else [self.by_class[k] for k in present.tolist()]
+        for value, square, change, room in self.common:
+            _descend(value, square, change, self.rate, room)
+        for value, square, change, room in output:
+            _descend(value, square, change, self.rate, room)
+            change.fill(0)
+        self.gradient.word_bias.fill(0)
+        read = np.flatnonzero(counts)
+        value, square, change = (x.words.take(read, axis=0) for x in (self.w, self.squares, self.gradient))
+        _descend(value, square, change, self.rate, np.empty_like(value))
+        self.w.words[read], self.squares.words[read] = value, square
+        self.gradient.words[read] = 0
 
     def learn(self, documents: list[np.ndarray], width: int = 64, window: int = 20) -> None:
-        lengths = np.array([len(d) for d in documents], np.int64)
-        order = np.argsort(-lengths, kind="stable")
+        texts = _Texts(documents)
+        order = np.argsort(-texts.lengths, kind="stable")
         for low in range(0, len(order), width):
             group = order[low:low + width]
-            sizes = lengths[group]
+            sizes = texts.lengths[group]
             state = np.zeros((len(group), STATE), np.float32)
             for begin in range(0, int(sizes[0]), window):
                 active = int(np.searchsorted(-sizes, -begin, "left"))
-                steps = min(window, int(sizes[0]) - begin)
-                tokens = np.full((steps, active), REST, np.int64)
-                for column in range(active):
-                    part = documents[group[column]][begin:begin + steps]
-                    tokens[:len(part), column] = part
-                real = np.arange(begin, begin + steps)[:, None] < sizes[None, :active]
-                gradient, state = _window_gradient(self.w, state[:active], tokens, real)
-                read = np.flatnonzero(np.bincount(tokens.reshape(-1), minlength=NUMBERS))
-                for f in fields(Weights):
-                    parts = [getattr(x, f.name) for x in (self.w, self.squares, gradient)]
-                    if f.name == "words":  # words that were not read have no gradient, and nothing of theirs moves
-                        value, square, change = (x[read] for x in parts)
-                        _descend(value, square, change, self.rate)
-                        parts[0][read], parts[1][read] = value, square
-                    else:
-                        _descend(*parts, self.rate)
+                tokens, real = texts.window(group[:active], begin, min(window, int(sizes[0]) - begin))
+                _, state = _window_gradient(self.w, state[:active], tokens, real, self.gradient)
+                self._step(tokens)
                 self.seen += int(real.sum())
