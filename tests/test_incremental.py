@@ -158,3 +158,25 @@ def test_first_rows_are_ranked_once(spark, root, monkeypatch):
     kept.merge(log, 2)
     assert len(ranked) == 3
     assert kept.rows(2).count() == kept.rows(1).count() > 0
+
+
+def test_whole_rows_are_written_once_and_first_ones_are_not_looked_up(spark, root, monkeypatch):
+    """A copy of all new rows was written before they went to their parts, and joined with their own keys after it."""
+    looked = []
+    real = incremental.PartStore.lookup
+    monkeypatch.setattr(incremental.PartStore, "lookup", lambda self, keys, at: looked.append(at) or real(self, keys, at))
+    view = DailyRevenue(spark, root, 4)
+    raw = {name: df for name, df in seed.raw(spark).items() if name in TABLES}
+    view.apply(raw)
+    assert looked == []
+    view.apply(raw)
+    assert set(looked) == {1, 2}
+    assert spark.read.parquet(view.latest["orders"].scratch).columns == ["order_id"]
+    assert rows(view.read()) == rows(rebuilt(raw))
+
+
+def test_rows_in_parts_that_were_not_read_are_refused(spark, root):
+    kept = LatestRows(spark, root, "orders", 8)
+    kept.merge(seed.raw(spark)["orders"], 1)
+    with pytest.raises(RuntimeError, match="not read"):
+        kept.store.write(kept.rows(1), kept.store.parts_of(kept.rows(1))[1:], 2)
