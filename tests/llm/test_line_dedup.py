@@ -2,6 +2,7 @@ import itertools
 import random
 
 import brute
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import line_dedup as ld
@@ -78,3 +79,32 @@ def test_awkward_rows(spark, nothing):
     assert ld.repeated_lines(spark, nothing).count() == 0
     plan = ld.repeated_lines(spark, docs)._jdf.queryExecution().executedPlan().toString()
     assert not [x for x in ("Python", "Pandas", "Arrow", "CartesianProduct", "NestedLoop") if x in plan]
+
+
+def classes(rows, edits):
+    """{place: smallest place of its class} of the lines of one text, by comparing all lines with all."""
+    texts = sorted(set(rows))
+    links = [(a, b) for a, b in itertools.combinations(texts, 2) if abs(len(a) - len(b)) <= edits and brute.edit_distance(a, b) <= edits]
+    root = brute.groups(texts, links)
+    first = {}
+    return [p for p, x in enumerate(rows) if first.setdefault(root[x], p) != p]
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_any_threshold_and_lines_of_any_length(spark, edits):
+    """Lines under 20 code points were compared for equality only, and no threshold but one edit could be had."""
+    draw = random.Random(edits)
+    lines = []
+    for n in (3, 7, 12, 18, 19, 30, 60):
+        for _ in range(3):
+            base = "".join(draw.choice("abcdefghijé k") for _ in range(n)).strip() or "x"
+            for _ in range(5):
+                line = base
+                for _ in range(draw.randint(0, edits + 1)):
+                    line = changed(draw, line) if line else "a"
+                lines.append(line if brute.WORD.search(line) else "w")
+    lines += ["Read more: page 1", "Read more: page 2"]
+    docs = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    (row,) = ld.repeated_lines(spark, docs, edits).collect()
+    assert row.n_lines == len(lines) and row.removed == classes(lines, edits)
+    assert len(lines) - 1 in row.removed
